@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, minhash_dedup, packing, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_minhash_near_dedup": minhash_dedup.op10_minhash_near_dedup,
 }
 
 ORACLE_SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
