@@ -231,6 +231,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _with_spans(keyed(docs, id_col, text_col), window, phrase).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """docs without the repeated passages: text_col and chars_col are the new text's, other columns stay.
+
+    A text from which nothing goes stays as it is, white space included; of any
+    other the kept words are joined by one space. A row goes if all its words went.
+    """
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    spans = repeated_spans(named, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = spans.withColumnRenamed("doc_id", id_col).withColumnRenamed("spans", "_repeated_spans")
+    rows = docs.join(spans, id_col, "left").select(*docs.columns, "_repeated_spans")
+    names = docs.columns
+    at, chars = names.index(text_col), names.index(chars_col)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, text_col):
+                texts, keep = b.column(at).to_pylist(), []
+                for i, spans in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                    keep.append(True)
+                    if spans:
+                        words, _ = _kept(texts[i], spans)
+                        texts[i], keep[i] = " ".join(words), bool(words)
+                columns = list(b.columns[:-1])
+                columns[at] = pa.array(texts, pa.string())
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def digest_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """substring_dedup() with the digest of the kept text in its place."""
 
