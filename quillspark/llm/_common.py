@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step inside a task looks at together.
 SLICE_BYTES = 4 << 20
 
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,9 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
