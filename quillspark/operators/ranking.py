@@ -26,6 +26,20 @@ def digest_order(df: DataFrame, day: str = "day", coverage: str = "coverage", at
     return df.withColumn("place", F.row_number().over(order))
 
 
+def top_with_kept(now: DataFrame, before: DataFrame, k: int = TOP, day: str = "day", key: str = "id", **columns: str) -> DataFrame:
+    """The first k of each day, and those of an earlier run's list that are still topics of the day, ranked anew.
+
+    Why lists can be longer than k is unknown; this is an option, not a finding.
+    """
+    listed = top(now, k, day=day, key=key, **columns).select(day, key).unionByName(before.select(day, key)).distinct()
+    return ranked(now.join(listed, [day, key], "left_semi"), day=day, key=key, **columns)
+
+
+def digest(df: DataFrame, cap: int, day: str = "day", genre: str = "genre", coverage: str = "coverage", at: str = "at", key: str = "id", floor: int = FLOOR) -> DataFrame:
+    """The first rows of each day's digest after genre_floor, at most cap. How the source data chooses its cap is unknown."""
+    return digest_order(genre_floor(df, day, genre, coverage, at, key, floor), day, coverage, at, key).where(F.col("place") <= cap)
+
+
 def genre_floor(df: DataFrame, day: str = "day", genre: str = "genre", coverage: str = "coverage", at: str = "at", key: str = "id", floor: int = FLOOR) -> DataFrame:
     """Covered rows, and in each (day, genre) with fewer than floor of them the newest uncovered rows up to floor.
 

@@ -128,7 +128,7 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOPICS} SELECT day, id, peak, coverage, row_number() OVER (PARTITION BY day ORDER BY peak DESC, coverage DESC, id) AS rank FROM t QUALIFY rank <= 15")
 def top_per_day(spark, sf_dir):
-    return ranking.top(_topics(spark, sf_dir))
+    return ranking.top(_topics(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_TOPICS} SELECT day, id, peak FROM t WHERE peak >= 2")
@@ -159,6 +159,24 @@ def genre_floor(spark, sf_dir):
     return ranking.genre_floor(_covered(spark, sf_dir)).select("id", "day", "genre", "coverage")
 
 
+@query(f"""WITH {_COVERED}, k AS (SELECT day, genre, count(coverage) AS covered FROM c GROUP BY day, genre),
+s AS (SELECT *, row_number() OVER (PARTITION BY day, genre ORDER BY ts DESC, id) AS place FROM c WHERE coverage IS NULL),
+f AS (SELECT id, day, coverage, ts FROM c WHERE coverage IS NOT NULL UNION ALL SELECT s.id, s.day, s.coverage, s.ts FROM s JOIN k USING (day, genre) WHERE place <= 5 - covered)
+SELECT id, day, row_number() OVER (PARTITION BY day ORDER BY coalesce(coverage, 1) DESC, ts DESC, id) AS place FROM f QUALIFY place <= 60""")
+def digest_rows(spark, sf_dir):
+    return ranking.digest(_covered(spark, sf_dir), 60).select("id", "day", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_TOPICS}, l AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY peak DESC, coverage DESC, id) AS rank FROM t QUALIFY rank <= 15),
+b AS (SELECT DISTINCT day, id FROM (SELECT day, id FROM l UNION ALL SELECT CAST(CAST(day AS DATE) + 1 AS VARCHAR), id FROM l))
+SELECT t.day, t.id, row_number() OVER (PARTITION BY t.day ORDER BY peak DESC, coverage DESC, t.id) AS rank FROM t JOIN b USING (day, id)""")
+def top_with_kept(spark, sf_dir):
+    """Each day's list with those of the day before's that are topics again."""
+    t = _topics(spark, sf_dir)
+    before = ranking.top(t).select(F.date_add(F.col("day").cast("date"), 1).cast("string").alias("day"), "id")
+    return ranking.top_with_kept(t, before).select("day", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {_A}, n AS (SELECT source AS id, count(*) AS n FROM a GROUP BY source)
 SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS place FROM n QUALIFY place <= 100""")
 def popular_order(spark, sf_dir):
@@ -404,6 +422,25 @@ def note_join(spark, sf_dir):
     return a.join(t, ["genre", "source", "day"], "left").select("id", "n", (F.col("ts") == F.col("first_at")).alias("is_first"))
 
 
+@query(f"""WITH {_TOPICS}, l AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY peak DESC, coverage DESC, id) AS rank FROM t QUALIFY rank <= 15),
+d AS (SELECT day, genre || '-' || source AS id, count(*) AS members FROM a GROUP BY ALL)
+SELECT l.day, l.id, l.coverage, d.members, l.coverage - d.members AS difference FROM l JOIN d USING (day, id)""")
+def digest_trend_same_id(spark, sf_dir):
+    """A day's listed topics next to the digest's count of the same topic."""
+    members = _articles(spark, sf_dir).groupBy("day", F.concat_ws("-", "genre", F.col("source").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("members"))
+    listed = ranking.top(_topics(spark, sf_dir)).select("day", "id", "coverage")
+    return listed.join(members, ["day", "id"]).withColumn("difference", F.col("coverage") - F.col("members"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
+SELECT id, n, c_name AS title, c_custkey IS NOT NULL AS found FROM p LEFT JOIN customer ON c_custkey = id + 1000000000""")
+def popular_articles(spark, sf_dir):
+    """Counted ids with their article, where there is one; the shift makes it a join that matches nothing."""
+    p = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("title"))
+    return p.join(c, F.col("c_custkey") == F.col("id") + F.lit(1_000_000_000), "left").select("id", "n", "title", F.col("c_custkey").isNotNull().alias("found"))
+
+
 @query(f"""WITH {_A}, d AS (SELECT source, CAST(day AS DATE) AS day, count(*) AS n FROM a GROUP BY ALL)
 SELECT x.source, CAST(x.day AS VARCHAR) AS day, x.n AS n, y.n AS n_before FROM d x JOIN d y ON x.source = y.source AND y.day = x.day - 1""")
 def day_self_join(spark, sf_dir):
