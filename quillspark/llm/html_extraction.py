@@ -7,6 +7,7 @@ likely sequence of content and other blocks.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,12 +21,14 @@ from .html_blocks import leaf_blocks
 from .html_pages import labelled_pages
 
 #: Labelled pages that training makes, and passes over them.
-TRAIN_PAGES, PASSES = 400, 120
+TRAIN_PAGES, PASSES = 800, 200
+#: A feature of blocks on fewer training pages is left out, so that beginnings of names count for rare names.
+LEAST_PAGES = 12
 OTHER, CONTENT = 0, 1
 
 
 def path_features(path: tuple) -> list[str]:
-    """Tags and names of all ancestors, the innermost tag, and names by how near an article they are."""
+    """Tags of all ancestors, the innermost one, those below an article, and names with their beginnings and tags."""
     out = {f"tag={path[-1][0]}" if path else "tag="}
     inside = False
     for tag, names in path:
@@ -35,6 +38,7 @@ def path_features(path: tuple) -> list[str]:
         elif inside:
             out.add(f"below={tag}")
         out.update(f"name={n}" for n in names)
+        out.update(f"name~{n[:4]}" for n in names)
         out.update(f"{tag}.{n}" for n in names)
     return sorted(out)
 
@@ -91,12 +95,15 @@ class Chain:
 
 
 def _padded(pages: list[list[list[int]]], labels: list[list[int]], size: int):
+    """Features of each block, one after another; labels and places by (page, block)."""
     longest, n = max(map(len, pages)), len(pages)
-    x = np.zeros((n, longest, size), np.float32)
+    x = np.zeros((sum(map(len, pages)), size), np.float32)
     y, there = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
+    row = 0
     for i, (blocks, marks) in enumerate(zip(pages, labels, strict=True)):
-        for t, features in enumerate(blocks):
-            x[i, t, features] = 1
+        for features in blocks:
+            x[row, features] = 1
+            row += 1
         y[i, : len(marks)], there[i, : len(marks)] = marks, True
     return x, y, there
 
@@ -124,29 +131,35 @@ def _gradient(e, y, there, step, begin):
     return (p[..., 1] - y) * there, pair.sum((0, 1)) - seen, p[:, 0].sum(0) - first
 
 
-def train(pages: list[tuple[str, list[int]]], passes: int = PASSES, l2: float = 2e-3, rate: float = 0.3) -> Chain:
-    """A chain from (html, labels of its leaf blocks), by AdaGrad on the regularised log-likelihood."""
-    rows, labels, names = [], [], {}
+def train(pages: list[tuple[str, list[int]]], passes: int = PASSES, l2: float = 1e-4, rate: float = 0.1, least_pages: int = LEAST_PAGES) -> Chain:
+    """A chain from (html, labels of its leaf blocks), by Adam steps on the regularised log-likelihood."""
+    said, labels, seen = [], [], Counter()
     for page, marks in pages:
         blocks = leaf_blocks(page)
         if len(blocks) != len(marks):
             raise ValueError(f"{len(marks)} labels for {len(blocks)} blocks")
         if blocks:
-            rows.append([[names.setdefault(f, len(names)) for f in ["bias", *path_features(path), *text_features(text, linked)]] for text, path, linked, _ in blocks])
+            said.append([["bias", *path_features(path), *text_features(text, linked)] for text, path, linked, _ in blocks])
             labels.append(marks)
-    if not rows:
+            seen.update({f for block in said[-1] for f in block})
+    if not said:
         return Chain({}, np.zeros((2, 2)), np.zeros(2))
-    x, y, there = _padded(rows, labels, len(names))
-    flat = x.reshape(-1, len(names))
-    w, step, begin = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
-    sums = [np.full_like(v, 1e-8) for v in (w, step, begin)]
-    for _ in range(passes):
-        e = (flat @ w.astype(np.float32)).reshape(y.shape).astype(float)
+    names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min(least_pages, len(said))))}
+    rows = [[[names[f] for f in block if f in names] for block in page] for page in said]
+    flat, y, there = _padded(rows, labels, len(names))
+    values = [np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)]
+    means, squares = ([np.zeros_like(v) for v in values] for _ in range(2))
+    for k in range(1, passes + 1):
+        w, step, begin = values
+        e = np.zeros(y.shape)
+        e[there] = flat @ w.astype(np.float32)
         de, ds, db = _gradient(e, y, there, step, begin)
-        for value, grad, total in zip((w, step, begin), (flat.T @ de.reshape(-1).astype(np.float32), ds, db), sums, strict=True):
+        for value, grad, mean, square in zip(values, (flat.T @ de[there].astype(np.float32), ds, db), means, squares, strict=True):
             grad = grad / len(rows) + l2 * value
-            total += grad**2
-            value -= rate * grad / np.sqrt(total)
+            mean += 0.1 * (grad - mean)
+            square += 0.01 * (grad**2 - square)
+            value -= rate * (1 - k / (passes + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+    w, step, begin = values
     return Chain({n: float(w[i]) for n, i in names.items()}, step, begin)
 
 

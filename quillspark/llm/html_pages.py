@@ -11,13 +11,15 @@ _SYLLABLES = "ra ne to li ka mu se vo pi du an er or est ing que lo den bra shi
 # Names that pages give their parts.
 MENU = "nav menu navbar navigation topbar breadcrumb breadcrumbs toc pagination pager tabs".split()
 SIDE = "sidebar side rail related widget trending popular recommended recommendations more".split()
-ADVERT = "ad ads advert advertisement sponsor sponsored promo banner promotion".split()
+ADVERT = "ad ads adslot adbox adunit adzone advert advertisement sponsor sponsored promo banner promotion".split()
 NOTICE = "cookie cookies consent notice alert gdpr popup modal overlay privacy message".split()
 COMMENT = "comments comment discussion replies reply respond responses disqus feedback reviews".split()
 FORM = "newsletter subscribe signup login search contact subscription".split()
 SHARE = "share social sharing follow buttons tools".split()
 FOOT = "footer foot copyright legal bottom colophon".split()
 HEAD = "header masthead branding top logo site".split()
+ENDS = ["", "", "", "-box", "-inner", "-wrap", "-1", "_main", "list", "nav", "item", "area", "zone", "holder", "section", "block"]
+NEUTRAL = "wrapper container inner row col columns grid block section box module left right".split()
 BODY = "article post entry content story body text main page".split()
 
 
@@ -42,7 +44,7 @@ class _Maker:
         r, name = self.rng, self.rng.choice(names)
         if r.random() < 0.15:
             return ""
-        name += r.choice(["", "", "", "-box", "-inner", "-wrap", "-1", "_main"])
+        name += r.choice(ENDS)
         return r.choice([f' class="{name}"', f" class='{name}'", f' id="{name}"', f' class="c-{name} x"'])
 
     def add(self, markup: str) -> None:
@@ -70,7 +72,7 @@ class _Maker:
     def box(self, names: list[str], tags: list[str], inner: str) -> None:
         tag = self.rng.choice(tags)
         # a plain element must say by its name what it is
-        at = self.attributes(names) if tag not in ("div", "section", "p") else f' class="{self.rng.choice(names)}"'
+        at = self.attributes(names) if tag not in ("div", "section", "p") else f' {self.rng.choice(["class", "class", "id"])}="{self.rng.choice(names)}{self.rng.choice(ENDS)}"'
         self.add(f"<{tag}{at}>{inner}</{tag}>")
 
     def comments(self) -> None:
@@ -110,6 +112,9 @@ class _Maker:
                 self.add("</header>")
         if r.random() < 0.2:
             self.box(SHARE, ["div", "ul"], self.links())
+        inside = r.random() < 0.3
+        if inside:
+            self.add(f'<div class="{r.choice(NEUTRAL + BODY)}">' if r.random() < 0.8 else "<div>")
         for _ in range(r.choice([1, 2, 3, 4, 6, 9])):
             kind = r.random()
             if kind < 0.72:
@@ -126,13 +131,15 @@ class _Maker:
                 self.add("<blockquote>")
                 self.content("p", self.paragraph())
                 self.add("</blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.92:
                 self.add("<table><tr>")
                 self.content("td", self.words(1, 4))
                 self.content("td", self.words(1, 4))
                 self.add("</tr></table>")
             else:
-                r.choice([self.advert, self.side, self.form, self.notice])()
+                r.choice([self.advert, self.side, self.form, self.notice, self.comments])()
+        if inside:
+            self.add("</div>")
         if r.random() < 0.25:
             self.comments()
         self.add(f"</{tag}>")
