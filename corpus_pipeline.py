@@ -25,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of docs whose id is in kept (doc_id), null ids alike."""
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
@@ -40,8 +40,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     ship(spark)
-    decided = exact_dedup.exact_dedup(docs)
-    return _only(docs, decided.where("kept")).dropDuplicates(["doc_id"])
+    kept = materialize(exact_dedup.exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    out = _only(docs, kept)
+    repeated = kept.where("rows > 1").limit(1).count()  # rows that share id and text
+    return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task looks at together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -67,18 +69,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
-    """Cut an Arrow batch so that each part has about `most` bytes of text, one row at least."""
-    sizes = batch.column(batch.schema.get_field_index(column)).nbytes
-    n = batch.num_rows
-    if not n:
+def slices(batch: pa.RecordBatch, *columns: str, most: int = SLICE_BYTES):
+    """Cut an Arrow batch so that each part has about `most` bytes in the columns (text), one row at least."""
+    if not batch.num_rows:
         return
-    if sizes <= most:
+    found = [batch.column(batch.schema.get_field_index(c)) for c in columns or ("text",)]
+    lengths = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in found)
+    if lengths.sum() <= most:
         yield batch
         return
-    import pyarrow.compute as pc
-
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for i, x in enumerate(lengths):
         if size and size + x > most:
@@ -86,3 +85,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             start, size = i, 0
         size += int(x)
     yield batch.slice(start)
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What make() gives, kept in this worker until it is asked for something else: one model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Free the model that this worker keeps; for steps that need the memory themselves."""
+    _HELD.clear()

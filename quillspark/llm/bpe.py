@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import keyed, slices, table
+from ._common import held, keyed, slices, table
 
 #: Fixed values of byte-level BPE: how text is cut into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -216,14 +216,9 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, BytePairs] = {}
-
-
 def vocabulary(path: str) -> BytePairs:
     """The vocabulary of this worker, read once."""
-    if path not in _LOADED:
-        _LOADED[path] = BytePairs(path)
-    return _LOADED[path]
+    return held(("bpe", path), lambda: BytePairs(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,15 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialize, slices, table
+from ._common import keyed, let_go, materialize, slices, table
 from ._words import U, Words, batch_words, mix, sequence_hash
 from .components import connected_components
 
 PARTS, WIDTH = 12, 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Rounds in which each table compares its members with one hub.
-HUB_ROUNDS = 2
 
 _SEEDS = mix(np.arange(1, 4096, dtype=U))
 
@@ -53,6 +51,7 @@ def set_sketches(docs: DataFrame, size: int, parts: int = PARTS, width: int = WI
     """(doc_id, n_shingles, set_a, set_b, parts): set_a and set_b name the set; parts holds 2*parts hashes, null for an empty set."""
 
     def run(batches):
+        let_go()
         for whole in batches:
             for b in slices(whole):
                 hashes, first = shingle_sets(batch_words(b.column(1), lower=True), size)
@@ -98,7 +97,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCE
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "left_text"):
+            for b in slices(whole, "left_text", "right_text"):
                 left, lo = shingle_sets(batch_words(b.column(2), lower=True), size)
                 right, ro = shingle_sets(batch_words(b.column(3), lower=True), size)
                 keep = []
@@ -125,41 +124,98 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(components.join(moved, "component", "left").select("rep", F.coalesce("moved", "component").alias("component")), "components")
 
 
+def pivots(members: DataFrame) -> DataFrame:
+    """(rep, pivot): for each set of members (key, rep), the one that it is first compared with.
+
+    A table's hub is its member that meets most others over all tables: of a
+    group of copies, that is the text which they are copies of. A set's pivot is
+    the best hub of its tables, which may be itself.
+    """
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    weights = materialize(members.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    weighed = materialize(members.join(weights, "rep").select("key", "rep", "weight"), "weighed")
+    best = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best")
+    hubs = materialize(weighed.groupBy("key").agg(best).select("key", "best.*"), "hubs")
+    chosen = members.join(hubs, "key").groupBy("rep").agg(F.max(F.struct("weight", "minus")).alias("best"))
+    return materialize(chosen.select("rep", (-F.col("best.minus")).alias("pivot")), "pivots")
+
+
+def differences(chosen: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+    """(rep, pivot, n, linked, strong, weak): each set against its pivot, on the full sets.
+
+    Let d(x, y) be the size of the symmetric difference. x and y are linked
+    exactly if d(x, y) <= r (|x| + |y|) with r = (100 - percent) / (100 + percent).
+    With D(x) the difference of x and pivot h, d(x, y) = |D(x)| + |D(y)| - 2 o,
+    o being how many elements D(x) and D(y) share. If y is not linked to h, so
+    |D(y)| > r (|y| + |h|), a link of x and y needs o > (|D(x)| + r (|h| - |x|)) / 2
+    and, seen from y, o >= (|D(y)| - r (|y| + |h|)) / 2. Where o >= t, the first
+    |D| - t + 1 elements of both in one order share an element. strong holds these
+    for the first bound, weak for the second (empty where linked). What the
+    pivot lacks comes first in the order: copies seldom share it by chance.
+    """
+    over, under = 100 - percent, 100 + percent
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "left_text", "right_text"):
+                mine, mo = shingle_sets(batch_words(b.column(2), lower=True), size)
+                pivot, po = shingle_sets(batch_words(b.column(3), lower=True), size)
+                rows = []
+                for i in range(b.num_rows):
+                    x, h = mine[mo[i] : mo[i + 1]], pivot[po[i] : po[i + 1]]
+                    order = np.concatenate([np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)])
+                    d, n, m = len(order), len(x), len(h)
+                    linked = under * d <= over * (n + m)
+                    strong = d - (under * d + over * (m - n)) // (2 * under)
+                    weak = 0 if linked else d + 1 - max(1, -((over * (n + m) - under * d) // (2 * under)))
+                    rows.append((n, linked, order[: max(0, strong)].view(np.int64), order[: max(0, weak)].view(np.int64)))
+                n, linked, strong, weak = zip(*rows, strict=True)
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(strong, lists), pa.array(weak, lists)], ["rep", "pivot", "n", "linked", "strong", "weak"])
+
+    rows = chosen.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("left_text")), "rep")
+    rows = rows.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("right_text")), "pivot")
+    return rows.select("rep", "pivot", "left_text", "right_text").mapInArrow(run, "rep long, pivot long, n long, linked boolean, strong array<long>, weak array<long>")
+
+
 def link_sets(members: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """(rep, component) of the sets in members (key, rep), which share tables.
 
-    In each round a table compares members with its hub, the least member of its
-    least component, unless they are already joined. After HUB_ROUNDS rounds the
-    last one compares what is still apart: every pair in a table whose two sets
-    are in different components and not yet compared. So each two sets that share
-    a table are in one component or have been compared.
+    Each set is compared with its pivot. Of two sets with one pivot, both linked
+    to it are in one component; any other two can only be linked if their
+    differences share an element (see differences), which finds those to
+    compare. Two sets of different pivots are compared if they share a table.
+    So each two sets that share a table are in one component or have been
+    compared, or cannot be linked.
     """
-    components = materialize(members.select("rep", F.col("rep").alias("component")).distinct(), "components")
-    tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        placed = members.join(components, "rep").select("key", "rep", "component")
-        placed = materialize(placed, "placed")
-        hubs = placed.groupBy("key").agg(F.min(F.struct("component", "rep")).alias("hub"), F.max("component").alias("last"))
-        hubs = materialize(hubs.where("hub.component < last").select("key", F.col("hub.component").alias("hub_component"), F.col("hub.rep").alias("hub")), "hubs")
-        if turn < HUB_ROUNDS:
-            pairs = placed.join(hubs, "key").where("component <> hub_component")
-            if turn:
-                pairs = pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-            else:  # one hub each, the least: most copies meet in many tables
-                pairs = pairs.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b"))
-        else:
-            apart = materialize(placed.join(hubs.select("key"), "key"), "apart")
-            other = apart.select("key", F.col("rep").alias("b"), F.col("component").alias("b_component"))
-            pairs = apart.join(other, "key").where("rep < b AND component <> b_component").select(F.col("rep").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = materialize(verified(pairs, texts, size, percent), "verified")
-        if links.limit(1).count():
-            components = _merged(components, links)
-    return components
+    chosen = pivots(members)
+    compared = materialize(differences(chosen, texts, size, percent), "compared")
+    components = materialize(compared.select("rep", F.col("rep").alias("component")), "components")
+    components = _merged(components, compared.where("linked AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+
+    placed = materialize(compared.join(components, "rep"), "placed")
+    loose = materialize(placed.where("NOT linked").select("pivot").distinct(), "loose")
+    near = placed.where("linked").join(loose, "pivot").select("pivot", "rep", "n", "component", F.explode("strong").alias("element"))
+    far = placed.where("NOT linked")
+    strong = far.select("pivot", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("b_component"), F.explode("strong").alias("element"))
+    weak = far.select("pivot", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("b_component"), F.explode("weak").alias("element"))
+    like = F.expr(f"component <> b_component AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = materialize(near, "near").join(materialize(weak, "weak"), ["pivot", "element"]).where(like).select("rep", "b")
+    strong = materialize(strong, "strong")
+    other = strong.select("pivot", F.col("b").alias("rep"), F.col("m").alias("n"), F.col("b_component").alias("component"), "element")
+    pairs = pairs.unionByName(other.join(strong, ["pivot", "element"]).where("rep < b").where(like).select("rep", "b"))
+
+    tables = members.join(placed.select("rep", "pivot", "n", "component"), "rep")
+    tables = materialize(tables, "tables")
+    mixed = tables.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b"), F.min("component").alias("c"), F.max("component").alias("d"))
+    mixed = materialize(mixed.where("a < b AND c < d").select("key"), "mixed")
+    tables = materialize(tables.join(mixed, "key"), "tables")
+    other = tables.select("key", F.col("rep").alias("b"), F.col("pivot").alias("b_pivot"), F.col("n").alias("m"), F.col("component").alias("b_component"))
+    pairs = pairs.unionByName(tables.join(other, "key").where("rep < b AND pivot <> b_pivot").where(like).select("rep", "b"))
+
+    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    pairs = materialize(pairs.join(chosen.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    return _merged(components, materialize(verified(pairs, texts, size, percent), "verified"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, parts: int = PARTS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialize, slices, table
+from ._common import held, keyed, materialize, slices, table
 from ._words import split_words
 
-#: Words remembered by one worker.
-REMEMBERED = 700_000
+#: Words that one worker remembers in each of two generations.
+REMEMBERED = 800_000
+#: A word of its own between the words that are encoded in one call.
+MARK = "\x01"
 #: Pieces that one task packs together.
 GROUP_PIECES = 16_384
 #: Weights of the residual tokens, document count and attention cost in a bin's score.
@@ -42,6 +44,18 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: one call for all that cannot hold the mark's token, which takes the ids apart again."""
+        if self.mark is None or any(MARK in w for w in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut, raw = np.flatnonzero(ids == self.mark) * 4, ids.tobytes()
+        starts, ends = np.append(0, cut + 4).tolist(), np.append(cut, len(raw)).tolist()
+        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -51,27 +65,23 @@ class WordIds:
             wanted.update(w)
         new = wanted - self.ids.keys()
         if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
+            self.ids, self.older = {}, self.ids
             new = wanted
-        new = list(new)
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        known = new & self.older.keys()
+        self.ids.update((w, self.older[w]) for w in known)
+        new = list(new - known)
+        for k in range(0, len(new), 2_000):
+            some = new[k : k + 2_000]
+            self.ids.update(zip(some, self._encode_words(some), strict=True))
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def _words(path: str) -> WordIds:
-    if path not in _LOADED:
-        import os
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
+    return held(("words", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

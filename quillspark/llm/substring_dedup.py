@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialize, slices, table
+from ._common import keyed, let_go, materialize, slices, table
 from ._words import U, batch_words, mix, sequence_hash, split_words
 
 WINDOW = 50
@@ -76,6 +76,7 @@ def picked_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     """(phrase, doc_id, place) of each winnowed phrase of keyed documents."""
 
     def run(batches):
+        let_go()
         for whole in batches:
             for b in slices(whole):
                 s = _Slice(b.column(1), window, phrase)

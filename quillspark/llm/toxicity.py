@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialize, slices, table
+from ._common import held, keyed, materialize, slices, table
 
 #: Most labelled rows that training reads, those of the least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -239,16 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(model.weights, model.exceptions, fit_curve(rows[:, :3], rows[:, 3]))
 
 
-_MACHINES: dict[tuple, ahocorasick.Automaton] = {}
-
-
 def _machine(model: Model) -> ahocorasick.Automaton:
     """The model's automaton in this worker, compiled once."""
-    key = (tuple(model.weights.items()), tuple(model.exceptions))
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = model.machine()
-    return _MACHINES[key]
+    return held(("toxicity", tuple(model.weights.items()), tuple(model.exceptions)), model.machine)
 
 
 def held_out(id_col: str):
