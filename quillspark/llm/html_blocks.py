@@ -8,7 +8,6 @@ import re
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"\s+")
 
 # Elements of HTML by how they cut text.
 RAW = frozenset("script style template noscript svg iframe object canvas math audio video".split())
@@ -48,7 +47,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
     def end_block() -> None:
         nonlocal linked
         if text:
-            said = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            said = " ".join(html.unescape("".join(text)).split())
             if said:
                 blocks.append((said, tuple(x for x in stack if x[0] in BLOCK or x[1]), min(linked, len(said))))
             text.clear()
