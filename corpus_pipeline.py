@@ -38,12 +38,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one document stays, whatever ids its rows have."""
     ship(spark)
-    kept = materialize(exact_dedup.exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    out = _only(docs, kept)
-    repeated = kept.where("rows > 1").limit(1).count()  # rows that share id and text
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return exact_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import keyed, materialize, table
 
@@ -17,15 +18,18 @@ WHITE = b" \t\n\x0b\x0c\r"
 COUNTERS = 1024
 
 
+def _sha_and_length(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    sha = [hashlib.sha256(t.as_buffer().to_pybytes().translate(None, WHITE)).hexdigest() for t in texts]
+    return pa.array(sha, pa.string()), pc.fill_null(pc.utf8_length(column), 0).cast(pa.int64())
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256, n_chars) of each row; null text counts as empty."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary()).fill_null(b"")
-            sha = [hashlib.sha256(t.as_buffer().to_pybytes().translate(None, WHITE)).hexdigest() for t in texts]
-            n = pc.fill_null(pc.utf8_length(b.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.string()), n], ["doc_id", "text_sha256", "n_chars"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_sha_and_length(b.column(1))], ["doc_id", "text_sha256", "n_chars"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_sha256 string, n_chars long")
 
@@ -88,6 +92,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each different text, whatever ids the rows have.
+
+    The row with the most code points, then the smallest id, stays, as in
+    exact_dedup(); a row without id only where no row of that length has one. Of
+    rows that share text, length and id, the least by all columns stays.
+    """
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sha", T.StringType()), T.StructField("_length", T.LongType())])
+    at = names.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *_sha_and_length(b.column(at))], [*names, "_sha", "_length"])
+
+    rows = digests(docs, id_col, text_col).groupBy("text_sha256", "n_chars", "doc_id").agg(F.count(F.lit(1)).alias("ties"))
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"), "ties"))
+    winners = rows.groupBy("text_sha256").agg(best.alias("best")).select(F.col("text_sha256").alias("_won"), F.col("best.n_chars").alias("_most"), (-F.col("best.minus")).alias("_keep"), F.col("best.ties").alias("_ties"))
+    winners = materialize(winners, "winners")
+    same = (F.col("_sha") == F.col("_won")) & (F.col("_length") == F.col("_most")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))
+    kept = docs.mapInArrow(run, schema).join(winners, same)
+    single = kept.where("_ties = 1").select(*names)
+    if not winners.where("_ties > 1").limit(1).count():
+        return single
+    tied = kept.where("_ties > 1").groupBy("_sha").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(tied)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -63,3 +63,14 @@ def test_odd_rows(spark):
             if name == "exact_dedup":
                 assert out.count() == (9 if start is docs else 0)
         assert (out.count() > 0) == (start is docs)
+
+
+def test_exact_stage_keeps_one_row_of_each_text_whatever_the_ids(spark):
+    rows = [(None, "one"), (None, "two"), (None, "three"), (None, "t wo"), (None, "three"), (5, "A"), (5, "B"), (5, "C"), (6, "C"), (4, "B "), (4, "D"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, s, len(t or "")) for s in "ba" for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(None, "one", "a"), (None, "t wo", "a"), (None, "three", "a"), (4, "B ", "a"), (4, "D", "a"), (5, "A", "a"), (5, "C", "a"), (7, None, "a")], key=repr)
+    out = dict(pipeline.STAGES)["exact_dedup"](spark, docs.repartition(3), DATA)
+    assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr) == want
+    for name in ("minhash_near_dedup", "substring_dedup"):  # they find nothing to do and lose nothing
+        out = pipeline.materialize(dict(pipeline.STAGES)[name](spark, out, DATA), name)
+        assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr) == want
