@@ -1,7 +1,7 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences. The identifiers found, in order, are matched against rules: a
+A text is cut into sentences, over the ends of wrapped lines where need be, each is
+normalised and looked up among known licence sentences. The identifiers found, in order, are matched against rules: a
 rule holds where its sentences stand in the text in the rule's order, with
 whatever else between them.
 """
@@ -54,6 +54,22 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa4-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
 ]
+# Sentences and rules of the whole licence texts, beside the short forms above. A name may be in both.
+WHOLE_SENTENCES = {
+    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "mit-condition": ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."],
+    "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "apache2-notice": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "bsd-endorse": [f"Neither the name of {who} may be used to endorse or promote products derived from this software without specific prior written permission." for who in ("the author nor the names of its contributors", "the author nor the names of contributors", "the University nor the names of its contributors", "the copyright holders nor the names of its contributors", "the copyright holders nor the names of their contributors")],
+    "isc-permission": [f"Permission to use, copy, modify, {many} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." for many in ("and", "and/or")],
+    "isc-as-is": [f"THE SOFTWARE IS PROVIDED \"AS IS\" AND {who} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS." for who in ("THE AUTHOR DISCLAIMS", "THE AUTHORS DISCLAIM", "ISC DISCLAIMS", "INTERNET SYSTEMS CONSORTIUM DISCLAIMS")],
+}
+WHOLE_RULES = [
+    ("ISC", ["isc-permission", "isc-as-is"]),
+    ("ISC", ["isc-permission", "as-is"]),
+]
 
 
 def normalise(sentence: str) -> str:
@@ -66,6 +82,10 @@ def sentence_table(sentences: dict[str, list[str]] = SENTENCES) -> dict[str, str
     return {max(map(normalise, re.split(r"[.!?][ \t]+", s)), key=len): name for name, forms in sentences.items() for s in forms}
 
 
+#: What a scan looks for: the short forms and the whole texts.
+KNOWN = {name: SENTENCES.get(name, []) + WHOLE_SENTENCES.get(name, []) for name in {**SENTENCES, **WHOLE_SENTENCES}}
+
+
 #: Words that a licence sentence starts with; a line without any needs no further look.
 def _hint(known: dict[str, str]) -> str:
     starts = sorted({" ".join(s.split(" ")[:2]) for s in known})
@@ -79,15 +99,27 @@ def _lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def _pattern(known: dict[str, str]) -> str:
+    """The known sentences between ends (P or L), each over any number of lines; the shortest that ends first."""
+    forms = sorted(known, key=lambda s: (s.count(" "), s))
+    return "(?<=[PL] )(?:" + "|".join(s.replace(" ", " (?:L )?") for s in forms) + ")(?= [PL])"
+
+
 def found_sentences(text: Column, known: dict[str, str]) -> Column:
     """array<string>: identifiers of the known sentences in text, in order.
 
-    A sentence ends at a line's end, or at . ! or ? before white space.
+    A sentence ends at . ! or ? before white space or a line's end, and at a line
+    without words; a known one also where any line ends, so that lines of their
+    own are found, and hard-wrapped sentences over several lines.
     """
     table_ = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t]+", "$1\n"), r"[\n\r]+")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(_lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(table_, s)), lambda i: i.isNotNull())
+    plain = F.regexp_replace(_lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    # P and L, which lower case has left free: the end of a sentence, and of a line within one
+    plain = F.regexp_replace(plain, r"[.!?][ \t]+|[.!?][ \t]*\n|\n(?:[^a-z0-9\n]*\n)+", " P ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\n", " L "), "[^a-z0-9PL]+", " ")
+    marked = F.concat(F.lit("P "), F.trim(plain), F.lit(" P"))
+    whole = F.regexp_extract_all(marked, F.lit(_pattern(known)), F.lit(0))
+    return F.transform(whole, lambda s: F.element_at(table_, F.replace(s, F.lit(" L "), F.lit(" "))))
 
 
 def rule_holds(found: Column, rule: list[str]) -> Column:
@@ -100,7 +132,7 @@ def rule_holds(found: Column, rule: list[str]) -> Column:
     return at.isNotNull()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = KNOWN, rules: list[tuple[str, list[str]]] = RULES + WHOLE_RULES) -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_sentences), one row per row of docs.
 
     sentence_ids are the known sentences in order, repeats included, joined by

@@ -39,6 +39,79 @@ def test_license_rules(spark, text, ids, names):
     assert (row.sentence_ids, row.licenses, row.n_sentences) == (ids, names, ids.count(">") + 1 if ids else 0)
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+BSD3 = """Copyright (c) 2024, A Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_whole_wrapped_licenses(spark):
+    texts = {"MIT": MIT, "ISC": ISC, "BSD-3-Clause": BSD3, "GPL-3.0": GPL3}
+    rows, want = [], []
+    for name, text in texts.items():
+        flowed = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        commented = "/*\n" + "\n".join(f" * {line}".rstrip() for line in text.split("\n")) + "\n */"
+        for form in (text, flowed, commented, text.replace("\n", "\r\n")):
+            rows.append((len(rows), form))
+            want.append((len(want), name))
+    parted = MIT.replace("documentation files", "documentation\n\nfiles")  # another paragraph is another sentence
+    got = licenses.scan(frame(spark, [*rows, (len(rows), parted)]))
+    assert sorted((r.doc_id, r.licenses) for r in got.collect()) == [*want, (len(want), "")]
+    assert licenses.scan(frame(spark, [(1, MIT)])).first().sentence_ids == "mit-title>mit-grant>mit-condition>as-is"
+
+
 def test_licenses_odd_rows(spark):
     assert by_id(licenses.scan(frame(spark, odd_rows()))) == sorted(((i, "", "", 0) for i, _ in odd_rows()), key=repr)
     assert licenses.scan(frame(spark, [])).count() == 0
