@@ -10,7 +10,9 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME = re.compile(r"[a-z]+")
 
 # Elements of HTML by how they cut text.
-RAW = frozenset("script style template noscript svg iframe object canvas math audio video".split())
+RAW = frozenset("script style template".split())
+#: Elements inside lines whose text counts and whose tag stands in the path.
+EMBEDDED = frozenset("noscript svg iframe object canvas math audio video".split())
 PLAIN = frozenset("textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -34,12 +36,16 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
 
     A block is a run of text that no block element cuts, its white space turned
     into single spaces. path has a (tag, names) for each open element; linked is
-    how many of its characters stand in links. Scripts, styles, comments and what
-    else is not text are left out; character references are decoded.
+    how many of its characters stand in links. Scripts, styles, comments and
+    templates are left out and cut no block; character references are decoded. Of
+    these only a script may stay open to the page's end; where another is not
+    closed, what follows is read as usual. An embedded element (math, object, ...)
+    counts as an ancestor of each block that has text of it.
     """
     blocks: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    around: dict[str, None] = {}  # embedded elements that the block's text stands in
     linked = links = at = 0
     if not page:
         return []
@@ -49,17 +55,24 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
         if text:
             said = " ".join(html.unescape("".join(text)).split())
             if said:
-                blocks.append((said, tuple(x for x in stack if x[0] in BLOCK or x[1]), min(linked, len(said))))
+                path = [x for x in stack if x[0] in BLOCK or x[1] or x[0] in EMBEDDED]
+                path[-1:-1] = [(tag, ()) for tag in around if all(tag != x[0] for x in path)]
+                blocks.append((said, tuple(path), min(linked, len(said))))
             text.clear()
+        around.clear()
         linked = 0
 
     n = len(page)
+    open_to_end: set[str] = set()  # elements that no tag closes from here on
+    embedded = False
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
             piece = page[at:stop]
             text.append(piece)
+            if embedded and not piece.isspace():
+                around.update((x[0], None) for x in stack if x[0] in EMBEDDED)
             if links:
                 linked += len(piece)
         if not m:
@@ -72,11 +85,17 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
         if tag in RAW or tag in PLAIN:
             if m.group(1) or m.group(3).endswith("/"):
                 continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            end_block()
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag not in open_to_end else None
+            if tag == "textarea":
+                end_block()
+            if close is None and tag != "script":
+                open_to_end.add(tag)
+                if tag == "style":  # its rules are no text
+                    at = k if (k := page.find("<", at)) >= 0 else n
+                continue
             if tag == "textarea":
                 stack.append((tag, ()))
-                text.append(page[at : close.start() if close else n])
+                text.append(page[at : close.start()])
                 end_block()
                 stack.pop()
             at = close.end() if close else n
@@ -115,6 +134,10 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
+        elif tag in EMBEDDED:
+            if not m.group(3).endswith("/"):
+                embedded = True
+                stack.append((tag, _names(m.group(3))))
         elif m.group(3) and (names := _names(m.group(3))):
             stack.append((tag, names))
     end_block()

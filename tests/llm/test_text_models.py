@@ -185,6 +185,20 @@ def test_leaf_blocks():
     assert len(leaf_blocks("<p>x" * 3000)) == 3000
 
 
+def test_embedded_and_unclosed_elements_keep_their_text():
+    said = lambda page: [b[0] for b in leaf_blocks(page)]
+    for tag in ("math", "object", "audio", "video", "canvas", "svg", "iframe", "noscript"):
+        assert said(f"<p>one <{tag} x='1'>two</{tag}> three</p><p>four") == ["one two three", "four"]
+        assert said(f"<p>one</p><{tag}><p>two</p><article><p>three</p></article>") == ["one", "two", "three"]
+        path = [x[0] for x in leaf_blocks(f"<article><p>one <{tag}>two</{tag}> three</p>")[0][1]]
+        assert path == ["article", tag, "p"]
+    for tag in ("script", "style", "template"):
+        assert said(f"<p>one <{tag}>x = '</p>'</{tag}>two</p>three") == ["one two", "three"]
+    for tag in ("style", "template", "title", "textarea"):
+        assert said(f"<{tag}><article><p>one</p></article>")[-1] == "one"
+    assert said("<p>one</p><script>two<p>three</p>") == ["one"]
+
+
 def test_blocks_on_pages_not_trained_on():
     chain = html_extraction.default_chain()
     wrong = total = 0
