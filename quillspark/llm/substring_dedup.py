@@ -72,21 +72,32 @@ class _Slice:
         return _sliding_min(order, self.window - self.phrase + 1) if len(self.whole) else np.zeros(0, U)
 
 
+def with_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "part") -> DataFrame:
+    """docs with part_col, which tells the texts of one id apart: the text's hash where rows share the id, else 0."""
+    row_id, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    shared = docs.where(row_id.isNotNull()).groupBy(row_id.alias("_shared_id")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_shared_id")
+    shared = materialize(shared, "shared-ids")
+    if not shared.limit(1).count():
+        return docs.withColumn(part_col, F.lit(0).cast("long"))
+    part = F.when(F.col("_shared_id").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0)).alias(part_col)
+    return docs.join(shared, row_id == F.col("_shared_id"), "left").select(*docs.columns, part)
+
+
 def picked_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(phrase, doc_id, place) of each winnowed phrase of keyed documents."""
+    """(phrase, doc_id, part, place) of each winnowed phrase of documents (doc_id, part, text)."""
 
     def run(batches):
         let_go()
         for whole in batches:
             for b in slices(whole):
-                s = _Slice(b.column(1), window, phrase)
+                s = _Slice(b.column(2), window, phrase)
                 at = np.unique((s.owner(s.order()) & _PLACE)[s.whole]).astype(np.int64)
                 doc = s.words.doc[at]
-                ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
-                columns = [pa.array(s.phrases[at].view(np.int64)), pa.array(ids).cast(pa.int64()), pa.array((at - s.words.first[doc]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["phrase", "doc_id", "place"])
+                ids, parts = (b.column(k).to_numpy(zero_copy_only=False)[doc] for k in (0, 1))
+                columns = [pa.array(s.phrases[at].view(np.int64)), pa.array(ids).cast(pa.int64()), pa.array(parts).cast(pa.int64()), pa.array((at - s.words.first[doc]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["phrase", "doc_id", "part", "place"])
 
-    return docs.mapInArrow(run, "phrase long, doc_id long, place int")
+    return docs.mapInArrow(run, "phrase long, doc_id long, part long, place int")
 
 
 def recurring_phrases(picked: DataFrame) -> DataFrame:
@@ -107,18 +118,18 @@ def _automaton(words: list[list[str]], places: list, phrase: int):
 
 
 def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """Cells of every document: (phrase, cell, doc_id, start, n, windows).
+    """Cells of every document: (phrase, cell, doc_id, part, start, n, windows).
 
-    docs has doc_id, text and places, the places where recurring phrases were
+    docs has doc_id, part, text and places, the places where recurring phrases were
     picked. A cell is n windows from word start on; windows holds their hashes.
     """
 
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                s = _Slice(b.column(1), window, phrase)
-                words = [split_words(t) for t in b.column(1).to_pylist()]
-                machine = _automaton(words, b.column(2).to_pylist(), phrase)
+                s = _Slice(b.column(2), window, phrase)
+                words = [split_words(t) for t in b.column(2).to_pylist()]
+                machine = _automaton(words, b.column(3).to_pylist(), phrase)
                 found = []
                 for w, first in zip(words, s.words.first.tolist(), strict=False):
                     hits = np.array(list(machine.iter(f" {' '.join(w)} ")), np.int64).reshape(-1, 2)
@@ -138,49 +149,53 @@ def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataF
                 begin, place = start[lo], own[lo]
                 cell = sequence_hash(s.prefix, begin, begin + n + window - 1) ^ mix((place - begin).astype(U) * U(1 << 32) + n.astype(U))
                 doc = s.words.doc[begin]
-                ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
+                ids, parts = (b.column(k).to_numpy(zero_copy_only=False)[doc] for k in (0, 1))
                 packed = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(lo * 8, len(start) * 8).astype(np.int32)), pa.py_buffer(hashes.tobytes())])
-                columns = [pa.array(s.phrases[place].view(np.int64)), pa.array(cell.view(np.int64)), pa.array(ids).cast(pa.int64()), pa.array((begin - s.words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), packed]
-                yield pa.RecordBatch.from_arrays(columns, ["phrase", "cell", "doc_id", "start", "n", "windows"])
+                columns = [pa.array(s.phrases[place].view(np.int64)), pa.array(cell.view(np.int64)), pa.array(ids).cast(pa.int64()), pa.array(parts).cast(pa.int64()), pa.array((begin - s.words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), packed]
+                yield pa.RecordBatch.from_arrays(columns, ["phrase", "cell", "doc_id", "part", "start", "n", "windows"])
 
-    return docs.mapInArrow(run, "phrase long, cell long, doc_id long, start int, n int, windows binary")
+    return docs.mapInArrow(run, "phrase long, cell long, doc_id long, part long, start int, n int, windows binary")
 
 
 def _windows(cells: DataFrame) -> DataFrame:
-    """(phrase, window, doc_id, start) of each window of cells."""
+    """(phrase, window, doc_id, part, start) of each window of cells."""
 
     def run(batches):
         for b in batches:
             n = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
             hashes = np.frombuffer(b"".join(b.column(5).to_pylist()), np.int64)
             first = np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(b.column(3).to_numpy(zero_copy_only=False), n) + np.arange(len(hashes)) - first
-            columns = [np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), hashes, np.repeat(b.column(2).to_numpy(zero_copy_only=False), n), start.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["phrase", "window", "doc_id", "start"])
+            phrase, doc, part, start = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), n) for k in range(4))
+            columns = [phrase, hashes, doc, part, (start + np.arange(len(hashes)) - first).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["phrase", "window", "doc_id", "part", "start"])
 
-    return cells.select("phrase", "cell", "doc_id", "start", "n", "windows").mapInArrow(run, "phrase long, window long, doc_id long, start int")
+    return cells.select("phrase", "doc_id", "part", "start", "n", "windows").mapInArrow(run, "phrase long, window long, doc_id long, part long, start int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, start, length) in words: spans covered by windows that a smaller doc_id has too."""
-    docs = docs.where("doc_id IS NOT NULL")
+    """(doc_id, part, start, length) in words: spans covered by windows that a smaller doc_id has too.
+
+    docs has doc_id, text and part (see with_parts), which only says whose words a
+    span counts.
+    """
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "part", F.coalesce("text", F.lit("")).alias("text"))
     picked = materialize(picked_phrases(docs, window, phrase), "picked")
     recurring = materialize(recurring_phrases(picked), "recurring")
-    places = picked.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    cells = materialize(locate(docs.join(places, "doc_id").select("doc_id", "text", "places"), window, phrase), "cells")
+    places = picked.join(recurring, "phrase").groupBy("doc_id", "part").agg(F.collect_list("place").alias("places"))
+    cells = materialize(locate(docs.join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "places"), window, phrase), "cells")
 
     firsts = cells.groupBy("phrase", "cell").agg(F.min("doc_id").alias("first_doc"))
     firsts = materialize(firsts, "firsts")
     several = firsts.groupBy("phrase").agg((F.min("cell") != F.max("cell")).alias("several")).where("several").select("phrase")
     several = materialize(several, "several")
     with_first = cells.join(firsts, ["phrase", "cell"])
-    settled = with_first.where("first_doc < doc_id").select("doc_id", "start", (F.col("n") + F.lit(window - 1)).alias("length"))
+    settled = with_first.where("first_doc < doc_id").select("doc_id", "part", "start", (F.col("n") + F.lit(window - 1)).alias("length"))
 
     opened = with_first.where("first_doc = doc_id").select(*cells.columns).join(several, "phrase")
     windows = materialize(_windows(opened), "windows")
     shared = windows.groupBy("phrase", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     shared = materialize(shared.where("first_doc < last_doc").select("phrase", "window", "first_doc"), "shared")
-    single = windows.join(shared, ["phrase", "window"]).where("first_doc < doc_id").select("doc_id", "start", F.lit(window).alias("length"))
+    single = windows.join(shared, ["phrase", "window"]).where("first_doc < doc_id").select("doc_id", "part", "start", F.lit(window).alias("length"))
     return settled.unionByName(single)
 
 
@@ -195,8 +210,9 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    spans = repeated_spans(docs, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    docs = with_parts(docs)
+    spans = repeated_spans(docs, window, phrase).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return docs.join(spans, ["doc_id", "part"], "left").select("doc_id", "text", "spans")
 
 
 def _kept(text: str | None, spans) -> tuple[list[str], int]:
@@ -219,8 +235,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a document with a smaller id. Words are split at space and 0x09-0x0D; the
     kept ones are joined by one space. Null and empty texts have no words. Rows
     without id take part in nothing and stay whole. Rows that share an id count
-    as one document: they never remove each other's words, and their spans are
-    applied to each. An empty table gives an empty table.
+    as one document: they never remove each other's words, but each loses only
+    what its own text repeats. An empty table gives an empty table.
     """
 
     def run(batches):
@@ -238,10 +254,11 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     A text from which nothing goes stays as it is, white space included; of any
     other the kept words are joined by one space. A row goes if all its words went.
     """
-    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    spans = repeated_spans(named, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", id_col).withColumnRenamed("spans", "_repeated_spans")
-    rows = docs.join(spans, id_col, "left").select(*docs.columns, "_repeated_spans")
+    parted = with_parts(docs, id_col, text_col, "_part")
+    named = parted.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("_part").alias("part"), F.col(f"`{text_col}`").alias("text"))
+    spans = repeated_spans(named, window, phrase).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = spans.withColumnsRenamed({"doc_id": id_col, "part": "_part", "spans": "_repeated_spans"})
+    rows = parted.join(spans, [id_col, "_part"], "left").select(*docs.columns, "_repeated_spans")
     names = docs.columns
     at, chars = names.index(text_col), names.index(chars_col)
 

@@ -149,3 +149,15 @@ def test_rewrite_keeps_columns_and_untouched_texts(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: (f"a  b\n{passage}", 5 + len(passage)), 2: ("tail", 4), 4: (" spaced  out ", 13), 5: (None, None), None: (passage, len(passage))}
     assert words(" a b\x1cc ") == ["a b\x1cc"]
+
+
+def test_substring_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    own = " ".join(f"o{i}" for i in range(90))
+    rows = [(1, a), (1, f"{b} end"), (2, f"{own} {a}"), (2, f"{b} {own}"), (2, "a few words"), (2, "x"), (2, None), (3, f"{own} tail"), (3, f"{own} tail"), (3, None), (None, a), (None, None)]
+    want = [(i, n, gone, " ".join(kept)) for i, n, gone, kept in without_repeats(rows, 50)]
+    assert sum(w[2] for w in want) == 60 + 60 + 90 + 90
+    assert by_id(substring_dedup.substring_dedup(frame(spark, rows).coalesce(1))) == sorted(want, key=repr)
+    df = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    left = [(i, " ".join(k) if gone else t) for (i, t), (_, _, gone, k) in zip(rows, without_repeats(rows, 50), strict=True)]
+    assert by_id(substring_dedup.rewrite(df).select("doc_id", "text")) == sorted(left, key=repr)
