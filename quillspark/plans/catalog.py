@@ -185,6 +185,12 @@ def popular_order(spark, sf_dir):
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "id")).cast("long"))
 
 
+@query(f"WITH {_A} SELECT source AS id, count(*) AS n FROM a GROUP BY source ORDER BY n DESC, id")
+def popular_order_all(spark, sf_dir):
+    """Every id in the order of popular_order, by a range sort."""
+    return _articles(spark, sf_dir).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id")
+
+
 # days, bursts and runs
 
 

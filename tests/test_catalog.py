@@ -1,4 +1,5 @@
 import importlib
+from collections import Counter
 
 import pytest
 
@@ -12,6 +13,13 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     same(catalog.QUERIES[name](spark, DATA), catalog.ORACLE_SQL[name])
 
 
+def test_popular_order_all_has_every_id_in_order(spark):
+    data = f"{DATA}/../sf0.01"
+    got = [(r.id, r.n) for r in catalog.QUERIES["popular_order_all"](spark, data).collect()]
+    ids = [r.user_id for r in spark.read.parquet(f"{data}/events.parquet").select("user_id").collect()]
+    assert got == sorted(Counter(ids).items(), key=lambda x: (-x[1], x[0])) and len(got) == 150
+
+
 def test_entry_has_every_query(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(catalog.QUERIES) <= set(entry.queries())
