@@ -190,4 +190,4 @@ def write_files(records: DataFrame, root: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark, sf_dir):
-    return derivatives(responses(table(spark, sf_dir, "pages"))).drop("record")
+    return derivatives(responses(table(spark, sf_dir, "pages")))

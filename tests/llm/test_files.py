@@ -114,6 +114,13 @@ def test_warc_on_pages(spark):
         assert r.source_payload_digest == warc.digest(page.html.encode())
 
 
+def test_warc_query_gives_the_records(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in warc.op6_warc_derivatives(spark, DATA).collect():
+        source = warc.read_record(warc.response_record(pages[r.page_id].url, pages[r.page_id].html, key=str(r.page_id)))
+        assert bytes(r.record) == warc.derive(source)[r.record_type == "conversion"].to_bytes()
+
+
 def test_warc_odd_rows_and_files(spark, tmp_path):
     rows = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", PAGE), (3, "u", PAGE), (4, "u", "<p>x</p>" * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1)).withColumn("refers_to", F.lit(None).cast("string"))
