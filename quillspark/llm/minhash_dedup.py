@@ -124,35 +124,20 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(components.join(moved, "component", "left").select("rep", F.coalesce("moved", "component").alias("component")), "components")
 
 
-def pivots(members: DataFrame) -> DataFrame:
-    """(rep, pivot): for each set of members (key, rep), the one that it is first compared with.
+def table_hubs(members: DataFrame) -> DataFrame:
+    """(key, weight, pivot): each table's hub, its member that meets most others over all tables.
 
-    A table's hub is its member that meets most others over all tables: of a
-    group of copies, that is the text which they are copies of. A set's pivot is
-    the best hub of its tables, which may be itself.
+    Of a group of copies, that is the text which they are copies of.
     """
     sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
     weights = materialize(members.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    weighed = materialize(members.join(weights, "rep").select("key", "rep", "weight"), "weighed")
+    weighed = materialize(members.join(weights, "rep").select("key", "weight", "rep"), "weighed")
     best = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best")
-    hubs = materialize(weighed.groupBy("key").agg(best).select("key", "best.*"), "hubs")
-    chosen = members.join(hubs, "key").groupBy("rep").agg(F.max(F.struct("weight", "minus")).alias("best"))
-    return materialize(chosen.select("rep", (-F.col("best.minus")).alias("pivot")), "pivots")
+    return materialize(weighed.groupBy("key").agg(best).select("key", "best.weight", (-F.col("best.minus")).alias("pivot")), "hubs")
 
 
 def differences(chosen: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """(rep, pivot, n, linked, strong, weak): each set against its pivot, on the full sets.
-
-    Let d(x, y) be the size of the symmetric difference. x and y are linked
-    exactly if d(x, y) <= r (|x| + |y|) with r = (100 - percent) / (100 + percent).
-    With D(x) the difference of x and pivot h, d(x, y) = |D(x)| + |D(y)| - 2 o,
-    o being how many elements D(x) and D(y) share. If y is not linked to h, so
-    |D(y)| > r (|y| + |h|), a link of x and y needs o > (|D(x)| + r (|h| - |x|)) / 2
-    and, seen from y, o >= (|D(y)| - r (|y| + |h|)) / 2. Where o >= t, the first
-    |D| - t + 1 elements of both in one order share an element. strong holds these
-    for the first bound, weak for the second (empty where linked). What the
-    pivot lacks comes first in the order: copies seldom share it by chance.
-    """
+    """(rep, pivot, n, m, d, linked, diff): sizes of a set and of its pivot, and what only one of them has."""
     over, under = 100 - percent, 100 + percent
 
     def run(batches):
@@ -160,61 +145,89 @@ def differences(chosen: DataFrame, texts: DataFrame, size: int, percent: int = P
             for b in slices(whole, "left_text", "right_text"):
                 mine, mo = shingle_sets(batch_words(b.column(2), lower=True), size)
                 pivot, po = shingle_sets(batch_words(b.column(3), lower=True), size)
-                rows = []
-                for i in range(b.num_rows):
-                    x, h = mine[mo[i] : mo[i + 1]], pivot[po[i] : po[i + 1]]
-                    order = np.concatenate([np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)])
-                    d, n, m = len(order), len(x), len(h)
-                    linked = under * d <= over * (n + m)
-                    strong = d - (under * d + over * (m - n)) // (2 * under)
-                    weak = 0 if linked else d + 1 - max(1, -((over * (n + m) - under * d) // (2 * under)))
-                    rows.append((n, linked, order[: max(0, strong)].view(np.int64), order[: max(0, weak)].view(np.int64)))
-                n, linked, strong, weak = zip(*rows, strict=True)
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(strong, lists), pa.array(weak, lists)], ["rep", "pivot", "n", "linked", "strong", "weak"])
+                diff = [np.setxor1d(mine[mo[i] : mo[i + 1]], pivot[po[i] : po[i + 1]], assume_unique=True) for i in range(b.num_rows)]
+                n, m, d = np.diff(mo).astype(np.int64), np.diff(po).astype(np.int64), np.array([len(x) for x in diff], np.int64)
+                ends = np.append(0, np.cumsum(d)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diff).view(np.int64)))
+                columns = [b.column(0), b.column(1), pa.array(n), pa.array(m), pa.array(d), pa.array(under * d <= over * (n + m)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "pivot", "n", "m", "d", "linked", "diff"])
 
     rows = chosen.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("left_text")), "rep")
     rows = rows.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("right_text")), "pivot")
-    return rows.select("rep", "pivot", "left_text", "right_text").mapInArrow(run, "rep long, pivot long, n long, linked boolean, strong array<long>, weak array<long>")
+    return rows.select("rep", "pivot", "left_text", "right_text").mapInArrow(run, "rep long, pivot long, n long, m long, d long, linked boolean, diff array<long>")
+
+
+def candidate_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(rep, b): pairs of one pivot's sets in different components that may be linked; none that is linked is left out.
+
+    groups is what differences() gives, with component. Let r = (100 - percent) /
+    (100 + percent), D(x) the difference of x and pivot h, and o how many elements
+    D(x) and D(y) share. x and y are linked exactly if
+    |D(x)| + |D(y)| - 2 o <= r (|x| + |y|). Two sets linked to the pivot are in one
+    component, so y, say, is not linked, |D(y)| > r (|y| + |h|), and a link needs
+    from x o > (|D(x)| + r (|h| - |x|)) / 2, from y o >= (|D(y)| - r (|y| + |h|)) / 2,
+    and from either o >= |D| - r (|x| + |y|), as |D(x)| and |D(y)| cannot differ by
+    more than r (|x| + |y|). Where o >= t, the first |D| - t + 1 elements of both in
+    one order share an element. The order is by how many of the pivot's sets have
+    the element, rarest first: elements that one set alone has come first and meet
+    nothing, so what is common to a group is seldom looked at. Of a shared element
+    at places i and j of D(x) and D(y), counted from 1, no more than
+    1 + min(|D(x)| - i, |D(y)| - j) elements follow or are it, which must
+    reach the o that this very pair needs, or another element finds the pair.
+    """
+    over, under = 100 - percent, 100 + percent
+    elements = groups.select("pivot", "rep", F.explode("diff").alias("element"))
+    common = materialize(elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("among")).where("among > 1"), "common")
+    ordered = elements.join(common, ["pivot", "element"]).groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("among", "element"))).alias("ordered"))
+    rows = groups.drop("diff").join(ordered, ["pivot", "rep"]).withColumn("alone", F.col("d") - F.size("ordered"))
+    any_ = f"d - ({over} * (n + 100 * n div {percent})) div {under}"
+    strong = f"({under} * d + {over} * (m - n)) div {2 * under} + 1"
+    weak = f"({under} * d - {over} * (n + m) + {2 * under - 1}) div {2 * under}"
+    rows = rows.withColumn("strong", F.expr(f"d + 1 - greatest({any_}, {strong}, 1)")).withColumn("weak", F.expr(f"d + 1 - greatest({any_}, {weak}, 1)"))
+    rows = rows.withColumn("most", F.when(F.col("linked"), F.col("strong")).otherwise(F.col("weak"))).where("most > alone")
+    placed = rows.select("pivot", "rep", "n", "d", "linked", "component", "strong", "alone", F.posexplode(F.expr("slice(ordered, 1, int(most - alone))")).alias("at", "entry"))
+    placed = materialize(placed.select("pivot", "entry.element", "rep", "n", "d", "linked", "component", (F.col("alone") + F.col("at") + 1).alias("place"), (F.col("alone") + F.col("at") < F.col("strong")).alias("early")), "placed")
+    far, near = placed.where("NOT linked"), placed.where("linked")
+    other = lambda rows: rows.select("pivot", "element", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("component").alias("b_component"), F.col("place").alias("b_place"))
+    may = f"component <> b_component AND 100 * least(n, bn) >= {percent} * greatest(n, bn) AND {2 * under} * (1 + least(d - place, bd - b_place)) >= {under} * (d + bd) - {over} * (n + bn)"
+    pairs = far.join(other(near), ["pivot", "element"]).where(may).select("rep", "b")
+    both = far.where("early").join(other(far.where("early")), ["pivot", "element"]).where("rep < b").where(may).select("rep", "b")
+    return pairs.unionByName(both).distinct()
 
 
 def link_sets(members: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """(rep, component) of the sets in members (key, rep), which share tables.
 
-    Each set is compared with its pivot. Of two sets with one pivot, both linked
-    to it are in one component; any other two can only be linked if their
-    differences share an element (see differences), which finds those to
-    compare. Two sets of different pivots are compared if they share a table.
-    So each two sets that share a table are in one component or have been
-    compared, or cannot be linked.
+    No table is paired with itself. Each set is compared with the best hub of its
+    tables, and components are joined; tables whose sets are in one component are
+    done. In the others each set is compared with the table's hub, and components
+    are joined again. What then still differs is left to candidate_pairs(). So
+    each two sets that share a table share its hub, and are in one component, or
+    have been compared, or cannot be linked.
     """
-    chosen = pivots(members)
+    hubs = table_hubs(members)
+    best = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("best")
+    chosen = materialize(members.join(hubs, "key").groupBy("rep").agg(best).select("rep", (-F.col("best.minus")).alias("pivot")), "chosen")
     compared = materialize(differences(chosen, texts, size, percent), "compared")
+    found = lambda rows: rows.where("linked AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     components = materialize(compared.select("rep", F.col("rep").alias("component")), "components")
-    components = _merged(components, compared.where("linked AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-
-    placed = materialize(compared.join(components, "rep"), "placed")
-    loose = materialize(placed.where("NOT linked").select("pivot").distinct(), "loose")
-    near = placed.where("linked").join(loose, "pivot").select("pivot", "rep", "n", "component", F.explode("strong").alias("element"))
-    far = placed.where("NOT linked")
-    strong = far.select("pivot", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("b_component"), F.explode("strong").alias("element"))
-    weak = far.select("pivot", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("b_component"), F.explode("weak").alias("element"))
-    like = F.expr(f"component <> b_component AND 100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = materialize(near, "near").join(materialize(weak, "weak"), ["pivot", "element"]).where(like).select("rep", "b")
-    strong = materialize(strong, "strong")
-    other = strong.select("pivot", F.col("b").alias("rep"), F.col("m").alias("n"), F.col("b_component").alias("component"), "element")
-    pairs = pairs.unionByName(other.join(strong, ["pivot", "element"]).where("rep < b").where(like).select("rep", "b"))
-
-    tables = members.join(placed.select("rep", "pivot", "n", "component"), "rep")
-    tables = materialize(tables, "tables")
-    mixed = tables.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b"), F.min("component").alias("c"), F.max("component").alias("d"))
-    mixed = materialize(mixed.where("a < b AND c < d").select("key"), "mixed")
-    tables = materialize(tables.join(mixed, "key"), "tables")
-    other = tables.select("key", F.col("rep").alias("b"), F.col("pivot").alias("b_pivot"), F.col("n").alias("m"), F.col("component").alias("b_component"))
-    pairs = pairs.unionByName(tables.join(other, "key").where("rep < b AND pivot <> b_pivot").where(like).select("rep", "b"))
-
-    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(chosen.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    components = _merged(components, found(compared))
+
+    def undecided() -> DataFrame:
+        """(rep, pivot) of the tables with several components."""
+        ends = members.join(components, "rep").groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+        mixed = materialize(ends.where("c < d").select("key"), "mixed")
+        return materialize(members.join(mixed, "key").join(hubs.select("key", "pivot"), "key").select("rep", "pivot").distinct(), "undecided")
+
+    more = materialize(undecided().join(chosen, ["rep", "pivot"], "left_anti"), "more")
+    again = materialize(differences(more, texts, size, percent), "again")
+    components = _merged(components, found(again))
+    compared = compared.unionByName(again)
+    groups = materialize(undecided().join(compared, ["rep", "pivot"]).join(components, "rep"), "groups")
+
+    pairs = candidate_pairs(groups, percent).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    done = compared.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     return _merged(components, materialize(verified(pairs, texts, size, percent), "verified"))
 
 

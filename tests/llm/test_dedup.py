@@ -97,6 +97,34 @@ def test_near_matches_all_pairs_on_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == {i: (len(sets[i]), c, c == i) for i, c in want.items()}
 
 
+def test_near_candidates_of_a_group_grow_as_the_group(spark, monkeypatch):
+    counted = []
+
+    def counting(groups, percent):
+        pairs = minhash_dedup.materialize(candidates(groups, percent), "counted")
+        counted.append(pairs.count())
+        return pairs
+
+    candidates = minhash_dedup.candidate_pairs
+    monkeypatch.setattr(minhash_dedup, "candidate_pairs", counting)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):  # two of these have about 0.55 in common, and none has 0.8 with the base
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([11, 13, 20])):
+            copy[at] = f"v{rng.randrange(400)}"
+        if i % 3 == 0:
+            del copy[rng.randrange(100) : 104]
+        rows.append((i, " ".join(copy)))
+    for n in (201, 401):
+        want, _ = near_components(rows[:n], 2)
+        got = minhash_dedup.near_duplicates(frame(spark, rows[:n], clash=False), size=2)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert len(set(want.values())) > 100
+    assert counted[1] < 2.5 * max(counted[0], 20), counted
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2000 + i) for i in range(50)]
