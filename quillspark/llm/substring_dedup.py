@@ -2,18 +2,22 @@
 
 1. Winnowing picks phrases of PHRASE words so that every window of WINDOW words
    holds at least one, chosen by the window's own words alone. A phrase that two
-   documents picked is a recurring passage's anchor.
-2. Documents are dealt in shards of a few MB. Each shard compiles the recurring
-   phrases of its documents into an Aho-Corasick automaton and streams the
-   documents through it, which finds every occurrence.
+   documents picked is confirmed as recurring. Only the phrases themselves are
+   kept, as one code for each word, not where they stand.
+2. The confirmed phrases are dealt in shards. A shard serves about 1 MB of
+   documents: it compiles all phrases that any of these may have into one
+   Aho-Corasick automaton over word codes and streams every one of the documents
+   through it. The hits say where the phrases occur; nothing else does.
 3. A window belongs to the located phrase of least hash in it. The windows of
    one occurrence are a cell. Equal cells are settled by the smallest document
    that has them. Where a phrase stands in unequal cells, the windows of each
    cell's first document are compared one by one.
 
-Two documents that share a window picked the same phrase in it, located it in it
-and put the window under it, so every shared window is found. Windows count as
-equal when two independent 64-bit hashes, of the window and of its phrase, are.
+Two documents that share a window picked the same phrase in it, so both shards
+hold it, both documents locate it and put the window under it: every shared
+window is found. Words that share a code can only add hits, never hide one.
+Windows count as equal when two independent 64-bit hashes, of the window and of
+its phrase, are.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ from ._words import U, batch_words, mix, sequence_hash, split_words
 WINDOW = 50
 PHRASE = 8
 
-_PLACE_BITS = 24  # words of a slice; the hash bits above them order phrases
+_PLACE_BITS = 24  # the hash bits above them order phrases
 _PLACE = U((1 << _PLACE_BITS) - 1)
 _MOST = U((1 << 64) - 1)
+#: Codes of words: characters below the surrogates, 0 left out.
+_CODES = U(0xD7FF)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,8 +61,6 @@ class _Slice:
         self.window, self.phrase = window, phrase
         self.prefix = self.words.prefix()
         n = len(self.words.hashes)
-        if n >= 1 << _PLACE_BITS:
-            raise ValueError(f"a document has more than {1 << _PLACE_BITS} words")
         at = np.arange(max(0, n - phrase + 1))
         self.phrases = sequence_hash(self.prefix, at, at + phrase)
         starts = np.arange(max(0, n - window + 1))
@@ -64,8 +68,22 @@ class _Slice:
         self.whole = self.words.doc[starts] == self.words.doc[starts + window - 1] if len(starts) else np.zeros(0, bool)
 
     def order(self) -> np.ndarray:
-        """Phrases by hash, leftmost first where equal."""
-        return (mix(self.phrases) & ~_PLACE) | np.arange(len(self.phrases)).astype(U)
+        """Phrases by hash, leftmost first where equal; place() undoes it."""
+        key = mix(self.phrases) & ~_PLACE
+        self._by = None
+        if len(key) < 1 << _PLACE_BITS:
+            return key | np.arange(len(key)).astype(U)
+        self._by = np.argsort(key, kind="stable")  # the same order where a place does not fit in beside the hash
+        out = np.empty(len(key), U)
+        out[self._by] = np.arange(len(key)).astype(U)
+        return out
+
+    def place(self, order: np.ndarray) -> np.ndarray:
+        return (order & _PLACE).astype(np.int64) if self._by is None else self._by[order.astype(np.int64)]
+
+    def codes(self) -> np.ndarray:
+        """A character for each word, equal words alike."""
+        return (mix(self.words.hashes) % _CODES + U(1)).astype(np.uint16)
 
     def owner(self, order: np.ndarray) -> np.ndarray:
         """The least entry among the phrases of each window."""
@@ -84,63 +102,66 @@ def with_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def picked_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(phrase, doc_id, part, place) of each winnowed phrase of documents (doc_id, part, text)."""
+    """(codes, doc_id, part) of each winnowed phrase of documents (doc_id, part, text): its words' codes, 16 bits each."""
 
     def run(batches):
         let_go()
         for whole in batches:
             for b in slices(whole):
                 s = _Slice(b.column(2), window, phrase)
-                at = np.unique((s.owner(s.order()) & _PLACE)[s.whole]).astype(np.int64)
+                at = s.place(np.unique(s.owner(s.order())[s.whole]))
                 doc = s.words.doc[at]
                 ids, parts = (b.column(k).to_numpy(zero_copy_only=False)[doc] for k in (0, 1))
-                columns = [pa.array(s.phrases[at].view(np.int64)), pa.array(ids).cast(pa.int64()), pa.array(parts).cast(pa.int64()), pa.array((at - s.words.first[doc]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["phrase", "doc_id", "part", "place"])
+                codes = s.codes()[at[:, None] + np.arange(phrase)] if len(at) else np.zeros(0, np.uint16)
+                ends = np.arange(len(at) + 1, dtype=np.int32) * 2 * phrase
+                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays([packed, pa.array(ids).cast(pa.int64()), pa.array(parts).cast(pa.int64())], ["codes", "doc_id", "part"])
 
-    return docs.mapInArrow(run, "phrase long, doc_id long, part long, place int")
+    return docs.mapInArrow(run, "codes binary, doc_id long, part long")
 
 
 def recurring_phrases(picked: DataFrame) -> DataFrame:
     """Phrases that at least two documents picked."""
-    ends = picked.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    return ends.where("a < b").select("phrase")
+    ends = picked.groupBy("codes").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return ends.where("a < b").select("codes")
 
 
-def _automaton(words: list[list[str]], places: list, phrase: int):
-    """The shard's phrases, each between spaces."""
+def compiled(phrases) -> ahocorasick.Automaton:
+    """The shard's automaton: phrases of word codes."""
     machine = ahocorasick.Automaton()
-    for w, at in zip(words, places, strict=True):
-        for p in at:
-            text = f" {' '.join(w[p : p + phrase])} "
-            machine.add_word(text, len(text))
+    for codes in phrases:
+        machine.add_word(codes.decode("utf-16-le"), len(codes) // 2)
     machine.make_automaton()
     return machine
 
 
+def occurrences(machine: ahocorasick.Automaton, codes: np.ndarray) -> np.ndarray:
+    """Where the automaton's phrases start in one document's words."""
+    hits = [end - n + 1 for end, n in machine.iter(codes.tobytes().decode("utf-16-le"))] if len(machine) else []
+    return np.array(hits, np.int64)
+
+
 def locate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """Cells of every document: (phrase, cell, doc_id, part, start, n, windows).
 
-    docs has doc_id, part, text and places, the places where recurring phrases were
-    picked. A cell is n windows from word start on; windows holds their hashes.
+    docs has doc_id, part, text and phrases, the recurring phrases that the document
+    may have (null: none of its own). A cell is n windows from word start on; windows
+    holds their hashes.
     """
 
     def run(batches):
         for whole in batches:
             for b in slices(whole):
                 s = _Slice(b.column(2), window, phrase)
-                words = [split_words(t) for t in b.column(2).to_pylist()]
-                machine = _automaton(words, b.column(3).to_pylist(), phrase)
-                found = []
-                for w, first in zip(words, s.words.first.tolist(), strict=False):
-                    hits = np.array(list(machine.iter(f" {' '.join(w)} ")), np.int64).reshape(-1, 2)
-                    starts = np.cumsum([0, *(len(x) + 1 for x in w)])
-                    found.append(first + np.searchsorted(starts, hits[:, 0] - hits[:, 1] + 1))
-                at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                machine = compiled({p for row in b.column(3).to_pylist() if row for p in row})
+                codes, first = s.codes(), s.words.first.tolist()
+                found = [i + occurrences(machine, codes[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+                at = np.concatenate(found) if found else np.zeros(0, np.int64)
                 order = np.full(len(s.phrases), _MOST)
                 order[at] = s.order()[at]
                 owner = s.owner(order)
                 start = np.flatnonzero(s.whole & (owner != _MOST)) if len(owner) else np.zeros(0, np.int64)
-                own = (owner[start] & _PLACE).astype(np.int64)
+                own = s.place(owner[start])
                 hashes = sequence_hash(s.prefix, start, start + window)
                 new = np.ones(len(start), bool)
                 new[1:] = (np.diff(start) != 1) | (np.diff(own) != 0) | (np.diff(s.words.doc[start]) != 0)
@@ -181,8 +202,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "part", F.coalesce("text", F.lit("")).alias("text"))
     picked = materialize(picked_phrases(docs, window, phrase), "picked")
     recurring = materialize(recurring_phrases(picked), "recurring")
-    places = picked.join(recurring, "phrase").groupBy("doc_id", "part").agg(F.collect_list("place").alias("places"))
-    cells = materialize(locate(docs.join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "places"), window, phrase), "cells")
+    mine = picked.join(recurring, "codes").groupBy("doc_id", "part").agg(F.collect_set("codes").alias("phrases"))
+    cells = materialize(locate(docs.join(mine, ["doc_id", "part"], "left").select("doc_id", "part", "text", "phrases"), window, phrase), "cells")
 
     firsts = cells.groupBy("phrase", "cell").agg(F.min("doc_id").alias("first_doc"))
     firsts = materialize(firsts, "firsts")
