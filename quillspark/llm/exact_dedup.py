@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import keyed, materialize, table
 
 #: Deleted before texts are compared: space and 0x09-0x0D.
-WHITE = b" \t\n\x0b\x0c\r"
+WHITE = " \t\n\x0b\x0c\r"
 #: Counters of a Misra-Gries summary. At most this many digests are broadcast.
 COUNTERS = 1024
 
 
-def _sha_and_length(column: pa.Array) -> tuple[pa.Array, pa.Array]:
-    texts = column.cast(pa.large_binary()).fill_null(b"")
-    sha = [hashlib.sha256(t.as_buffer().to_pybytes().translate(None, WHITE)).hexdigest() for t in texts]
-    return pa.array(sha, pa.string()), pc.fill_null(pc.utf8_length(column), 0).cast(pa.int64())
+def _digest(text: Column) -> list[Column]:
+    """text_sha256 of the text without white space, and n_chars with it; null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.sha2(F.translate(text, WHITE, ""), 256).alias("text_sha256"), F.char_length(text).cast("long").alias("n_chars")]
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256, n_chars) of each row; null text counts as empty."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *_sha_and_length(b.column(1))], ["doc_id", "text_sha256", "n_chars"])
-
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_sha256 string, n_chars long")
+    return keyed(docs, id_col, text_col).select("doc_id", *_digest(F.col("text")))
 
 
 def frequent(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
@@ -67,7 +59,14 @@ def frequent(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
 def _winner() -> list:
     """Most code points in the original text, then the smallest doc_id."""
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus")))
-    return [(-best["minus"]).alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    return [(-best["minus"]).alias("keep_id"), best["n_chars"].alias("most"), F.count(F.lit(1)).alias("group_size")]
+
+
+def _split(rows: DataFrame, counters: int) -> tuple[DataFrame, DataFrame]:
+    """Winners of the frequent digests of rows (doc_id, text_sha256, n_chars), at most `counters`, and the rows of the others."""
+    hot = materialize(frequent(rows, "text_sha256", counters), "frequent")
+    winners = materialize(rows.join(F.broadcast(hot), "text_sha256").groupBy("text_sha256").agg(*_winner()), "winners")
+    return winners, rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
@@ -84,40 +83,47 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by digest and joined back.
     """
     rows = materialize(digests(docs, id_col, text_col), "digests")
-    hot = materialize(frequent(rows, "text_sha256", counters), "frequent")
-    winners = materialize(rows.join(F.broadcast(hot), "text_sha256").groupBy("text_sha256").agg(*_winner()), "winners")
+    winners, light = _split(rows, counters)
     heavy = rows.join(F.broadcast(winners), "text_sha256")
-    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
     light = light.join(light.groupBy("text_sha256").agg(*_winner()), "text_sha256")
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row of docs, with all its columns, for each different text, whatever ids the rows have.
 
     The row with the most code points, then the smallest id, stays, as in
     exact_dedup(); a row without id only where no row of that length has one. Of
-    rows that share text, length and id, the least by all columns stays.
+    rows that share text, length and id, the least by all columns stays. Null text
+    is empty; an empty table gives an empty table.
+
+    Frequent digests are decided map-side by their broadcast winners. Of the rest,
+    the rows that go are found by digest alone and taken out by an anti join, so
+    whole texts are shuffled only where those are too many to broadcast.
     """
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_sha", T.StringType()), T.StructField("_length", T.LongType())])
-    at = names.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *_sha_and_length(b.column(at))], [*names, "_sha", "_length"])
-
-    rows = digests(docs, id_col, text_col).groupBy("text_sha256", "n_chars", "doc_id").agg(F.count(F.lit(1)).alias("ties"))
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"), "ties"))
-    winners = rows.groupBy("text_sha256").agg(best.alias("best")).select(F.col("text_sha256").alias("_won"), F.col("best.n_chars").alias("_most"), (-F.col("best.minus")).alias("_keep"), F.col("best.ties").alias("_ties"))
-    winners = materialize(winners, "winners")
-    same = (F.col("_sha") == F.col("_won")) & (F.col("_length") == F.col("_most")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))
-    kept = docs.mapInArrow(run, schema).join(winners, same)
-    single = kept.where("_ties = 1").select(*names)
-    if not winners.where("_ties > 1").limit(1).count():
-        return single
-    tied = kept.where("_ties > 1").groupBy("_sha").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return single.unionByName(tied)
+    rows = materialize(digests(docs, id_col, text_col), "digests")
+    winners, light = _split(rows, counters)
+    where = {"text_sha256": "_sha", "n_chars": "_length", "doc_id": "_id"}
+    most = light.groupBy("text_sha256").agg(*_winner())
+    same = (F.col("n_chars") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = light.join(most, "text_sha256").where(~same).select(*where).distinct()
+    gone = materialize(gone.withColumnsRenamed(where), "gone")
+    # the rows that stay of one text, one length and one id
+    stays = rows.join(F.broadcast(winners), "text_sha256").where(same).select(*where).unionByName(light.join(most, "text_sha256").where(same).select(*where))
+    ties = materialize(stays.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*where).withColumnsRenamed(where), "ties")
+
+    digest, length = _digest(F.col(f"`{text_col}`"))
+    marked = docs.withColumns({"_sha": digest, "_length": length, "_id": F.col(f"`{id_col}`").cast("long")})
+    at = lambda a, b: (a["_sha"] == b["_sha"]) & (a["_length"] == b["_length"]) & a["_id"].eqNullSafe(b["_id"])
+    won = winners.select(F.col("text_sha256").alias("_hot"), F.col("most").alias("_most"), F.col("keep_id").alias("_keep"))
+    kept = marked.join(F.broadcast(won), marked["_sha"] == won["_hot"], "left").where("_hot IS NULL OR _length = _most AND _id <=> _keep").select(*marked.columns)
+    kept = kept.join(gone, at(kept, gone), "left_anti")
+    if not ties.limit(1).count():
+        return kept.select(*names)
+    single = kept.join(ties, at(kept, ties), "left_anti").select(*names)
+    several = kept.join(ties, at(kept, ties), "left_semi").groupBy("_sha").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(several)
 
 
 def op8_exact_dedup(spark, sf_dir):
