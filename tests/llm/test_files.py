@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -92,7 +93,8 @@ def test_records_round_trip():
 
 def test_derivatives_refer_to_their_response():
     source = warc.read_record(warc.response_record("http://a/", PAGE, date="2024-01-02T03:04:05Z"))
-    metadata, conversion = warc.derive(source)
+    metadata, conversion, error = warc.derive(source)
+    assert error is None
     for r in (metadata, conversion):
         assert warc.read_record(r.to_bytes()).block == r.block
         assert (r.get("WARC-Refers-To"), r.get("WARC-Date"), r.get("WARC-Target-URI")) == (source.get("WARC-Record-ID"), "2024-01-02T03:04:05Z", "http://a/")
@@ -136,3 +138,71 @@ def test_warc_odd_rows_and_files(spark, tmp_path):
         raw = (tmp_path / "out" / r.file).read_bytes()[r.offset : r.offset + r.length]
         read.append(gzip.GzipFile(fileobj=io.BytesIO(raw)).read())
     assert sorted(read) == want
+
+
+def _raw(http, payload, uri="http://a/", kind="response", record_id="<urn:uuid:0a>"):
+    """A record written by hand, without digests of its block."""
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(b"%s: %s\r\n" % h for h in http) + b"\r\n" + payload
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def _chunks(data, size=7):
+    return b"".join(b"%x;x=y\r\n%s\r\n" % (len(p), p) for p in (data[i : i + size] for i in range(0, len(data), size))) + b"0\r\n\r\n"
+
+
+PLAIN = "<title>Caf&eacute;</title><p>Café à la carte</p><a href='/a?b&amp;c'>x</a>"
+HTML = (b"Content-Type", b"text/html")
+
+
+@pytest.mark.parametrize(
+    ("http", "payload"),
+    [
+        ([(b"Content-Type", b"text/html; charset=iso-8859-1")], PLAIN.encode("latin-1")),
+        ([(b"content-type", b'text/html; Charset="UTF-8"')], PLAIN.encode()),
+        ([HTML], b"\xff\xfe" + PLAIN.encode("utf-16-le")),
+        ([HTML], b"<meta charset='windows-1252'>" + PLAIN.encode("cp1252")),
+        ([(b"Content-Type", b"text/html; charset=no-such"), (b"Content-Encoding", b"gzip")], gzip.compress(PLAIN.encode())),
+        ([(b"Transfer-Encoding", b"chunked")], _chunks(PLAIN.encode())),
+        ([HTML, (b"Transfer-Encoding", b"chunked"), (b"Content-Encoding", b"gzip")], _chunks(gzip.compress(PLAIN.encode()))),
+        ([HTML, (b"Content-Encoding", b"deflate")], zlib.compress(PLAIN.encode())),
+        ([HTML, (b"Content-Encoding", b"deflate")], zlib.compress(PLAIN.encode())[2:-4]),
+    ],
+)
+def test_warc_payloads_by_hand(spark, http, payload):
+    rows = warc.derivatives(spark.createDataFrame([(1, bytearray(_raw(http, payload)))], "page_id long, record binary")).collect()
+    metadata, conversion = sorted(rows, key=lambda r: r.record_type, reverse=True)
+    assert (metadata.record_type, conversion.record_type, metadata.error, conversion.error) == ("metadata", "conversion", None, None)
+    head, _, rest = bytes(conversion.record).partition(b"\r\n\r\n")
+    block = "Café à la carte\nx".encode()
+    assert rest == block + b"\r\n\r\n"
+    lines = head.decode().split("\r\n")
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    want = ["WARC-Type: conversion", "WARC-Refers-To: <urn:uuid:0a>", "WARC-Date: 2024-05-06T07:08:09Z", "WARC-Target-URI: http://a/", "Source-Status: HTTP/1.1 200 OK", "Source-Payload-Digest: sha1:ABC", f"WARC-Block-Digest: {digest}", f"Content-Length: {len(block)}"]
+    want += [f"Source-Header-{'-'.join(w.capitalize() for w in k.decode().split('-'))}: {v.decode()}" for k, v in http]
+    assert set(want) <= set(lines)
+    fields = bytes(metadata.record).partition(b"\r\n\r\n")[2].decode().split("\r\n")
+    assert fields[0] == "source-status: HTTP/1.1 200 OK" and {"title: Café", "outlink: /a?b&c", "source-payload-digest: sha1:ABC"} <= set(fields)
+    assert {f"source-header-{k.decode().lower()}: {v.decode()}" for k, v in http} <= set(fields)
+    assert (conversion.source_payload_digest, conversion.source_block_digest, metadata.n_outlinks) == ("sha1:ABC", None, 1)
+
+
+def test_warc_broken_records_are_told(spark):
+    bad = [b"", b"no record", _raw([HTML], b"x").replace(b"Content-Length: ", b"Content-Length: 9"), _raw([HTML], b"x").replace(b"Content-Length: ", b"Content-Length: q")]
+    half = [_raw([(b"Content-Encoding", b"gzip")], b"\x1f\x8bno gzip"), _raw([(b"Content-Encoding", b"br")], b"x"), _raw([(b"Transfer-Encoding", b"chunked")], b"5\r\nab"), _raw([(b"Content-Encoding", b"deflate")], b"??")]
+    rows = [(i, bytearray(r)) for i, r in enumerate([*bad, *half])] + [(99, bytearray(_raw([HTML], b"<p>fine")))]
+    got = warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    by = {i: [r for r in got if r.page_id == i] for i, _ in rows}
+    for i in range(len(bad)):
+        assert [(r.record_type, r.record) for r in by[i]] == [(None, None)] and by[i][0].error
+    for i in range(len(bad), len(bad) + len(half)):
+        assert [r.record_type for r in by[i]] == ["metadata", "conversion"] and all(r.error for r in by[i])
+        assert bytes(by[i][1].record).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"source-error: " in bytes(by[i][0].record)
+    assert [r.error for r in by[99]] == [None, None]
+
+
+def test_warc_repeated_rows_have_ids_of_their_own(spark):
+    rows = [(3, "u", PAGE)] * 5 + [(4, "u", PAGE), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.derivatives(warc.responses(pages)).collect()
+    assert len(got) == 16 and len({r.record_id for r in got}) == 16 and len({r.refers_to for r in got}) == 8
