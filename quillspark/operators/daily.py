@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from ..functions.text import is_latin
 
 #: A topic needs so many members, and a word so many articles.
 LEAST = 2
+#: Up to so many words stand in the plan as literals.
+LITERALS = 64
+#: Words of one automaton; a larger vocabulary is looked up in several scans.
+AUTOMATON_WORDS = 100_000
 
 
 def totals(df: DataFrame, day: str = "day", source: str = "source") -> DataFrame:
@@ -44,31 +53,61 @@ def count_map(df: DataFrame, key: str, by: str = "day") -> DataFrame:
     return df.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(sorted_map(F.col(key), F.col("n")).alias("counts"))
 
 
-def _grams(text, size: int):
-    """All pieces of `size` characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+def _by_literals(df: DataFrame, words: list[str], text: str, keep: tuple[str, ...]) -> DataFrame:
+    """match_words() by built-in expressions: whole runs of letters by set, other words one by one."""
+    latin, other = ([w for w in words if is_latin(w) == flag] for flag in (True, False))
+    array = lambda items: F.array(*[F.lit(w) for w in items]).cast("array<string>")
+    runs = F.array_intersect(F.split(F.col(text), "[^A-Za-z]+"), array(latin))
+    inside = F.array_compact(F.array(*[F.when(F.col(text).contains(w), F.lit(w)) for w in other])) if other else array([])
+    found = df.where(F.col(text).isNotNull()).select(*keep, F.concat(runs, inside).alias("found"))
+    return found.select(*keep, F.explode("found").alias("word"))
+
+
+def _by_automaton(df: DataFrame, words: list[str], text: str, keep: tuple[str, ...]) -> DataFrame:
+    """match_words() by one pass of an Aho-Corasick automaton over each text."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    letters = frozenset(string.ascii_letters)
+
+    def found(machine: ahocorasick.Automaton, said: str) -> list[str]:
+        out = set()
+        for end, (word, whole) in machine.iter(said):
+            inside = whole and (said[end + 1 : end + 2] in letters or (end >= len(word) and said[end - len(word)] in letters))
+            if not inside:
+                out.add(word)
+        return list(out)
 
+    @F.pandas_udf("array<string>")
+    def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = ahocorasick.Automaton()
+        for word in shared.value:
+            machine.add_word(word, (word, is_latin(word)))
+        machine.make_automaton()
+        for part in texts:
+            yield pd.Series([found(machine, t) for t in part.fillna("")])
 
-def match_words(df: DataFrame, words: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*keep, F.explode(match(F.col(text))).alias("word"))
+
+
+def match_words(df: DataFrame, words: DataFrame, text: str = "text", keep: tuple[str, ...] = (), literals: int = LITERALS, most: int = AUTOMATON_WORDS) -> DataFrame:
     """(keep, word) for each row and word of words (word) that stands in its text, once.
 
-    Words of Latin letters match whole runs of letters, others anywhere. Texts
-    are taken apart into runs and into grams of the lengths that the words have,
-    and joined with the words on equality, so there is no pairing of all texts
-    with all words. Words of one character match nothing; a word inside another
-    matches too.
+    Words of Latin letters match whole runs of letters, others anywhere. Words of
+    one character match nothing; a word inside another matches too. Null texts and
+    null words match nothing.
+
+    Each text is read once for each `most` words or so: by built-in expressions where the
+    vocabulary has no more than `literals` words, else by an automaton. Only the words
+    of one scan are on the driver and broadcast, and texts are never shuffled.
     """
-    latin = F.col("word").rlike("^[A-Za-z]+$")
     words = words.select("word").where(F.length("word") >= 2).distinct()
-    runs = df.select(*keep, F.explode(F.array_distinct(F.split(F.col(text), "[^A-Za-z]+"))).alias("word"))
-    found = runs.join(words.where(latin), "word")
-    sizes = sorted(r["n"] for r in words.where(~latin).select(F.length("word").alias("n")).distinct().collect())
-    if sizes:
-        grams = [_grams(F.col(text), k) for k in sizes]
-        pieces = df.where(F.col(text).isNotNull()).select(*keep, F.explode(F.array_distinct(F.concat(*grams))).alias("word"))
-        found = found.unionByName(pieces.join(words.where(~latin), "word"))
-    return found.select(*keep, "word")
+    parts = max(1, -(-words.count() // most))
+    found = None
+    for k in range(parts):
+        mine = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k) if parts > 1 else words
+        some = sorted(w for (w,) in mine.collect())
+        scan = (_by_literals if len(some) <= literals else _by_automaton)(df, some, text, keep)
+        found = scan if found is None else found.unionByName(scan)
+    return found
 
 
 def word_counts(matched: DataFrame, source: str = "source", by: tuple[str, ...] = ()) -> DataFrame:
