@@ -23,14 +23,13 @@ from quillspark.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in kept (doc_id), null ids alike."""
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose id is not in gone (doc_id); rows without id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go."""
+    """Documents that the toxicity operator rejects go. Null and empty texts are scored like any other; repeated rows share their text's outcome."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -38,29 +37,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays, whatever ids its rows have."""
+    """Of equal texts one row stays, whatever ids the rows have. Null and empty texts are equal; an empty table stays empty."""
     ship(spark)
     return exact_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+
+    Rows without id, and texts without words, stay; rows that share an id stay or go together.
+    """
     ship(spark)
     decided = minhash_dedup.near_duplicates(docs, size=5, percent=80)
-    return _only(docs, decided.where("kept"))
+    return _without(docs, decided.where("NOT kept"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has go; the other words stay as they are.
 
-    n_chars becomes the new text's. A document of which nothing stays goes.
+    n_chars becomes the new text's. A document of which nothing stays goes; null and
+    empty texts and rows without id stay as they are.
     """
     ship(spark)
     return substring_dedup.rewrite(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 2048 tokens."""
+    """The documents' pieces in sequences of 2048 tokens; a null or empty text is a piece of one token, the end."""
     ship(spark)
     return packing.best_fit_packing(docs)
 
