@@ -21,6 +21,7 @@ HEAD = "header masthead branding top logo site".split()
 ENDS = ["", "", "", "-box", "-inner", "-wrap", "-1", "_main", "list", "nav", "item", "area", "zone", "holder", "section", "block"]
 NEUTRAL = "wrapper container inner row col columns grid block section box module left right".split()
 BODY = "article post entry content story body text main page".split()
+LINE = "byline author meta date dateline lead intro summary standfirst caption".split()
 
 
 class _Maker:
@@ -50,7 +51,13 @@ class _Maker:
     def add(self, markup: str) -> None:
         self.parts.append(markup)
 
-    def content(self, tag: str, text: str) -> None:
+    def any_name(self) -> str:
+        """Attributes that say nothing, or nothing known."""
+        r = self.rng
+        kind = r.random()
+        return "" if kind < 0.4 else f' class="{r.choice(NEUTRAL)}"' if kind < 0.6 else f' {r.choice(["class", "id"])}="{self.words(1, 1)}"'
+
+    def content(self, tag: str, text: str, names: str | None = None) -> None:
         r = self.rng
         shown = html.escape(text, quote=False)
         if r.random() < 0.15:
@@ -59,7 +66,8 @@ class _Maker:
             a, b = shown.split(" ", 1)
             shown = r.choice([f"<b>{a}</b> {b}", f"<a href='/{self.words(1, 1)}'>{a}</a> {b}", f"{a}\n  <em>{b}</em>", f"{a}<br>{b}", f"<b>{a} {b}"])
         closed = r.random() < 0.85 or tag not in ("p", "li")
-        self.add(f"<{tag}>{shown}" + (f"</{tag}>" if closed else "") + r.choice(["", "\n"]))
+        at = names if names is not None else self.any_name() if r.random() < 0.15 else ""
+        self.add(f"<{tag}{at}>{shown}" + (f"</{tag}>" if closed else "") + r.choice(["", "\n"]))
         self.marks.append(text)
 
     def links(self) -> str:
@@ -95,14 +103,33 @@ class _Maker:
             inner = f"<p>{self.sentence()}</p>" + inner
         self.add(f"<form{self.attributes(FORM)}>{inner}</form>")
 
+    def sign_up(self) -> None:
+        """A box that asks for an address, with or without a form element."""
+        r = self.rng
+        inner = r.choice(["", f"<h3>{self.words(2, 6)}</h3>", f"<h4>{self.words(1, 4)}</h4>"]) + f"<p>{self.sentence()}</p>"
+        field = f"<input type='email'><button>{self.words(1, 2)}</button>"
+        inner += r.choice([field, f"<form>{field}</form>", f"<form><label>{self.words(1, 2)}</label>{field}</form>", ""])
+        self.box(FORM, ["div", "div", "section", "aside"], inner)
+
+    def lines(self) -> None:
+        """By-line, date and lead: parts of the article."""
+        r = self.rng
+        for _ in range(r.choice([1, 1, 2])):
+            tag = r.choice(["p", "div", "p", "address"])
+            self.content(tag, r.choice([self.words(2, 4).title(), self.words(3, 7).capitalize(), self.sentence()]), f' class="{r.choice(LINE)}"' if r.random() < 0.7 else "")
+
     def side(self) -> None:
         self.box(SIDE, ["aside", "aside", "div", "section"], self.rng.choice([f"<h3>{self.words(1, 3)}</h3>{self.links()}", f"<p>{self.paragraph()}</p>", f"<h4>{self.sentence()}</h4><p>{self.sentence()}</p>"]))
 
     def article(self) -> None:
         r = self.rng
-        tag = r.choice(["article", "article", "article", "main", "div", "section"])
-        names = f' class="{r.choice(BODY)}"' if tag in ("div", "section") else self.attributes(BODY)
-        self.add(f"<{tag}{names}>")
+        tag = r.choice(["article", "article", "article", "main", "div", "div", "section", ""])
+        if tag in ("div", "section"):
+            names = f' class="{r.choice(BODY)}{r.choice(["", "", "-body", "-content", "_text", "-1"])}"' if r.random() < 0.6 else self.any_name()
+        else:
+            names = self.attributes(BODY)
+        if tag:
+            self.add(f"<{tag}{names}>")
         wrapped = r.random() < 0.2
         if r.random() < 0.85:
             if wrapped:
@@ -110,6 +137,8 @@ class _Maker:
             self.content(r.choice(["h1", "h1", "h2"]), self.words(1, 12).capitalize() + r.choice(["", "."]))
             if wrapped:
                 self.add("</header>")
+        if r.random() < 0.3:
+            self.lines()
         if r.random() < 0.2:
             self.box(SHARE, ["div", "ul"], self.links())
         inside = r.random() < 0.3
@@ -136,17 +165,27 @@ class _Maker:
                 self.content("td", self.words(1, 4))
                 self.content("td", self.words(1, 4))
                 self.add("</tr></table>")
+            elif kind < 0.935:
+                self.add("<figure><img src='x.png'>")
+                self.content("figcaption", self.sentence())
+                self.add("</figure>")
+            elif kind < 0.945:
+                self.content("pre", self.words(2, 12))
             else:
-                r.choice([self.advert, self.side, self.form, self.notice, self.comments])()
+                r.choice([self.advert, self.side, self.form, self.sign_up, self.sign_up, self.notice, self.comments])()
         if inside:
             self.add("</div>")
         if r.random() < 0.25:
             self.comments()
-        self.add(f"</{tag}>")
+        if tag:
+            self.add(f"</{tag}>")
 
     def page(self) -> tuple[str, list[int]]:
         r = self.rng
         self.add(f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body{r.choice(['', self.attributes(BODY)])}>")
+        if r.random() < 0.06:  # an article and nothing else
+            self.article()
+            return self.finished()
         if r.random() < 0.35:
             self.notice()
         if r.random() < 0.5:
@@ -164,14 +203,17 @@ class _Maker:
             self.side()
         if r.random() < 0.96:
             self.article()
-        for make, chance in ((self.comments, 0.3), (self.side, 0.35), (self.advert, 0.3), (self.form, 0.25)):
+        for make, chance in ((self.comments, 0.3), (self.side, 0.35), (self.advert, 0.3), (self.form, 0.2), (self.sign_up, 0.15)):
             if r.random() < chance:
                 make()
         if outer:
             self.add("</div>")
         if r.random() < 0.8:
             self.box(FOOT, ["footer", "footer", "div"], r.choice(["&copy; ", "", "Copyright "]) + r.choice([self.sentence(), f"{self.words(1, 2)} &middot; {self.sentence()}", self.links(), f"<p>{self.paragraph()}</p>"]))
-        self.add(r.choice(["</body></html>", "", "</html>"]))
+        return self.finished()
+
+    def finished(self) -> tuple[str, list[int]]:
+        self.add(self.rng.choice(["</body></html>", "", "</html>"]))
         page = "".join(self.parts)
         wanted, labels = list(self.marks), []
         for text, *_ in leaf_blocks(page):
