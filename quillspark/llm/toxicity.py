@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -24,8 +26,6 @@ from ._common import held, keyed, materialize, slices, table
 
 #: Most labelled rows that training reads, those of the least hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Most entries of the lexicon, and of the candidates for it.
-LEXICON_ENTRIES, CANDIDATES = 4_000, 100_000
 #: A candidate is in so many toxic training documents at least, and has this weight at least.
 SUPPORT, LEAST_WEIGHT = 4, 2.0
 #: Word beginnings of these lengths are candidates.
@@ -96,7 +96,10 @@ def matched(machine: ahocorasick.Automaton, folded: str) -> list[tuple[int, int,
         elif weight > hits.get(start, (0, 0.0))[1]:
             hits[start] = (end, weight)
     if spared:
-        hits = {s: (e, w) for s, (e, w) in hits.items() if not any(a <= s and e <= b + 1 for a, b in spared)}
+        spared.sort()
+        begins = [a for a, _ in spared]
+        reach = list(accumulate((b for _, b in spared), max))  # how far the phrases up to here go
+        hits = {s: (e, w) for s, (e, w) in hits.items() if not (k := bisect_right(begins, s)) or e > reach[k - 1] + 1}
     return [(s, e, w) for s, (e, w) in hits.items()]
 
 
@@ -171,8 +174,7 @@ def _lexicon(toxic: dict[str, int], clean: Counter, n_toxic: int, n_clean: int)
         above = max((kept[f[:k]] for k in range(1 + SHORTEST, len(f)) if f[:k] in kept), default=-math.inf)
         if weight[f] > above + 0.7:
             kept[f] = weight[f]
-    best = sorted(kept, key=lambda f: (-kept[f] * math.log1p(toxic[f]), f))[:LEXICON_ENTRIES]
-    return {f: round(kept[f], 4) for f in best}
+    return {f: round(w, 4) for f, w in kept.items()}
 
 
 def _contexts(machine: ahocorasick.Automaton):
@@ -181,13 +183,15 @@ def _contexts(machine: ahocorasick.Automaton):
     def of(folded: str) -> set[str]:
         out = set()
         for start, _, _ in matched(machine, folded):
-            words = folded[start + 1 : start + 200].split(" ", 4)
-            before = folded[max(0, start - 60) : start].rsplit(" ", 1)[-1]
-            out.add(f" {words[0]} ")
+            end = folded.find(" ", start + 1)  # a folded text ends with a space
+            word = folded[start + 1 : end]
+            before = folded[folded.rfind(" ", 0, start) + 1 : start]
+            after = folded[end + 1 : max(end + 1, folded.find(" ", end + 1))]
+            out.add(f" {word} ")
             if before:
-                out.add(f" {before} {words[0]} ")
-            if len(words) > 2 and words[1]:
-                out.add(f" {words[0]} {words[1]} ")
+                out.add(f" {before} {word} ")
+            if after:
+                out.add(f" {word} {after} ")
         return out
 
     return of
@@ -217,15 +221,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sizes) < 2:
         return Model(seeds, spared)
 
-    top = _counted(train.where("toxic = 1"), _candidates, SUPPORT).orderBy(F.desc("toxic"), "feature").limit(CANDIDATES)
-    toxic = {r["feature"]: r["toxic"] for r in top.select("feature", "toxic").collect()}
+    # candidates come from the training rows alone, so train_rows bounds what reaches the driver
+    toxic = {r["feature"]: r["toxic"] for r in _counted(train.where("toxic = 1"), _candidates, SUPPORT).select("feature", "toxic").collect()}
     names = train.sparkSession.sparkContext.broadcast(frozenset(toxic))
     clean = Counter({r["feature"]: r["clean"] for r in _counted(train.where("toxic = 0"), lambda t: _candidates(t) & names.value).collect()})
     weights = seeds | _lexicon(toxic, clean, sizes[1], sizes[0])
 
     model = Model(weights, spared)
     contexts = _counted(train, lambda t: _contexts(_machine(model))(t), 2).where("clean >= 2").where(F.col("clean") * sizes[1] >= F.col("toxic") * sizes[0])
-    contexts = contexts.orderBy(F.desc("clean"), "feature").limit(LEXICON_ENTRIES).select("feature")
+    contexts = contexts.orderBy("feature").select("feature")
     model = Model(weights, spared + [r["feature"] for r in contexts.collect() if r["feature"] not in weights])
 
     def measure(batches):
