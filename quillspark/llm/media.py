@@ -26,6 +26,8 @@ WIDTH = 576
 FILL = b"\xff"
 #: A shard is closed at this size.
 SHARD_BYTES = 128 << 20
+#: Images that one task reads back.
+PART_BYTES = 16 << 20
 #: Signature, and the IHDR chunk with its length, name and checksum.
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -144,9 +146,10 @@ def store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def addresses(rows: DataFrame) -> DataFrame:
-    """One place (digest, shard, offset, length) for each digest, in the order of the shards."""
+    """One place (digest, shard, offset, length) for each digest, in the order of the shards, in parts of PART_BYTES of images at most or so."""
     place = F.min(F.struct("shard", "offset", "length")).alias("at")
-    return rows.groupBy("digest").agg(place).select("digest", "at.*").repartitionByRange("shard", "offset")
+    size = rows.agg(F.sum("length")).first()[0] or 0
+    return rows.groupBy("digest").agg(place).select("digest", "at.*").repartitionByRange(max(1, -(-size // PART_BYTES)), "shard", "offset")
 
 
 class _Reader:
@@ -221,4 +224,4 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
 
 def op7_media_columns(spark, sf_dir):
     rows = media_columns(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height")

@@ -69,6 +69,7 @@ def test_media_on_documents(spark):
     assert len(got) == len(texts)
     for r in got:
         p = media.payload_of(texts[r.doc_id])
+        assert r.width * r.height == r.payload_bytes and r.length == r.media_bytes and r.offset > 0 and r.shard.endswith(".tar")
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), media.feature_of(p))
 
 
