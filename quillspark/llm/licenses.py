@@ -65,10 +65,39 @@ WHOLE_SENTENCES = {
     "bsd-endorse": [f"Neither the name of {who} may be used to endorse or promote products derived from this software without specific prior written permission." for who in ("the author nor the names of its contributors", "the author nor the names of contributors", "the University nor the names of its contributors", "the copyright holders nor the names of its contributors", "the copyright holders nor the names of their contributors")],
     "isc-permission": [f"Permission to use, copy, modify, {many} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." for many in ("and", "and/or")],
     "isc-as-is": [f"THE SOFTWARE IS PROVIDED \"AS IS\" AND {who} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS." for who in ("THE AUTHOR DISCLAIMS", "THE AUTHORS DISCLAIM", "ISC DISCLAIMS", "INTERNET SYSTEMS CONSORTIUM DISCLAIMS")],
+    "apache2-express": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "gpl-free": [f"{what} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version." for what in ("This program", "This file", "This software", "This library")],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-free": [f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version." for what in ("library", "program")],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "mpl2-copy": [f"If a copy of the MPL was not distributed with this file, You can obtain one at {at}://mozilla.org/MPL/2.0/." for at in ("http", "https")],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd-as-is": [f"THIS SOFTWARE IS PROVIDED BY {who} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED." for who in ("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT HOLDER AND CONTRIBUTORS", "THE AUTHOR AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS", "THE AUTHOR")],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
 }
 WHOLE_RULES = [
     ("ISC", ["isc-permission", "isc-as-is"]),
     ("ISC", ["isc-permission", "as-is"]),
+    ("Apache-2.0", ["apache2-copy", "apache2-express"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
+    ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "+bsd-as-is"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Unlicense", ["unlicense", "unlicense-anyone"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
 ]
 
 
@@ -123,10 +152,17 @@ def found_sentences(text: Column, known: dict[str, str]) -> Column:
 
 
 def rule_holds(found: Column, rule: list[str]) -> Column:
-    """Whether the rule's identifiers are a subsequence of found: each is looked for after the one before it."""
+    """Whether the rule's identifiers stand in found in this order; one with + must follow the one before it at once.
+
+    Each is looked for after the one before it, so one with + follows the first
+    place where the others hold.
+    """
     at = F.lit(0)
     for name in rule:
         rest = F.slice(found, at + 1, F.greatest(F.size(found) - at, F.lit(0)))
+        if name.startswith("+"):
+            at = F.when(at.isNotNull() & (F.get(rest, F.lit(0)) == name[1:]), (at + 1).cast("int"))
+            continue
         place = F.array_position(rest, name)
         at = F.when(at.isNotNull() & (place > 0), (at + place).cast("int"))
     return at.isNotNull()

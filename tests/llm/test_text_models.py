@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,38 @@ def test_whole_wrapped_licenses(spark):
     assert licenses.scan(frame(spark, [(1, MIT)])).first().sentence_ids == "mit-title>mit-grant>mit-condition>as-is"
 
 
+WHOLE = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("GPL-2.0-or-later", GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")),
+    ("LGPL-2.1-or-later", GPL3.replace("This program", "This library").replace("software: you", "software; you").replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1")),
+    ("AGPL-3.0-or-later", GPL3.replace("GNU General", "GNU Affero General")),
+    ("BSD-2-Clause", BSD3[: BSD3.index("3. Neither")] + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND\nANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED\nWARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT"),
+    ("BSD-3-Clause", BSD3 + "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND\nANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED\nWARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"),
+]
+
+
+def test_more_license_headers_as_comments(spark):
+    rows, want = [], []
+    for name, text in WHOLE:
+        for mark in ("", "// ", "# ", " * "):
+            rows.append((len(rows), "\n".join((mark + line).rstrip() for line in text.split("\n"))))
+            want.append((len(want), name))
+    assert sorted((r.doc_id, r.licenses) for r in licenses.scan(frame(spark, rows)).collect()) == want
+
+
 def test_licenses_odd_rows(spark):
     assert by_id(licenses.scan(frame(spark, odd_rows()))) == sorted(((i, "", "", 0) for i, _ in odd_rows()), key=repr)
     assert licenses.scan(frame(spark, [])).count() == 0
@@ -185,6 +219,49 @@ def test_leaf_blocks():
     assert len(leaf_blocks("<p>x" * 3000)) == 3000
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p data-x=don't>Hello world</p><div class='ad'>AD</div><p>It's here</p>", ["Hello world", "AD", "It's here"]),
+        ("a < b <é> 3</3 <p title=\"x > y\" class=k>T</p>", ["a < b <é> 3</3", "T"]),
+        ("<p x=\"unclosed>Q</p>r", ["Q", "r"]),
+        ("<p>one</p><p x='>two", ["one", "two"]),
+        ("<p>one</p><a href=x <!-- y", ["one", "<a href=x"]),
+        ("<p>one</p><!-- two <p>three</p>", ["one"]),
+        ("<!-->a<!-- b -->c<!DOCTYPE x>d<?php e ?>f", ["acdf"]),
+        ("<style>p{}</style >a<script>'</p>'</script x>b", ["ab"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+        ("<a href=http://x/?a='b>c</a> d", ["c d"]),
+    ],
+)
+def test_leaf_blocks_of_bad_markup(page, texts):
+    assert [b[0] for b in leaf_blocks(page)] == texts
+
+
+@pytest.mark.parametrize("unit", ["<p x ", "<p x='>' ", '<a x="', "<div>a", "<div></ul>", "<span class=q><p>", "<li><span class=a>", "<!-- ", "<!x ", "<style>a", "<textarea>", "<", "&amp", "<p =", "<svg>a", "</div>", "<td>", "</p", "<table><tr><td>"])
+def test_leaf_blocks_read_bad_pages_once(unit):
+    took = []
+    for n in (125_000, 1_000_000):
+        page = unit * (n // len(unit)) + "<p>'\">"
+        began = time.process_time()
+        leaf_blocks(page)
+        took.append(time.process_time() - began)
+    assert took[1] < max(2.0, 24 * took[0]), took
+
+
+def test_main_text_of_pages_by_hand():
+    chain = html_extraction.default_chain()
+    pages = [
+        ("<body><h1>Title here</h1><p>First paragraph of the text, it is long enough.</p>\n<p>Second   paragraph\nfollows here.</p></body>", "Title here\nFirst paragraph of the text, it is long enough.\nSecond paragraph follows here."),
+        ("<nav><a href='/'>Home</a> <a href='/n'>News</a></nav><div class='story'><h1>A storm</h1><p class='byline'>By Jane Doe</p><p>The text of the story goes on for a while.</p><div class='signup'><h3>Get our letter</h3><p>Sign up for news.</p><input><button>Go</button></div><p>More text of it, &amp; an end.</p></div><footer>&copy; 2024 A paper</footer>", "A storm\nBy Jane Doe\nThe text of the story goes on for a while.\nMore text of it, & an end."),
+        ("<p>Hello there, this is it.</p><p>And more of it.</p>", "Hello there, this is it.\nAnd more of it."),
+        ("<header><a href='/'>Site</a></header><main><article><h1>Head</h1><p>Text one is here, as it is.</p><ul><li>First point<li>Second point</ul><blockquote><p>Said somebody, once.</p></blockquote></article><section id='comments'><h3>2 comments</h3><div class='comment'><p>I do not agree at all.</p></div></section></main><aside class='sidebar'><h4>Popular</h4><ul><li><a href='/p'>Other news</a></ul></aside>", "Head\nText one is here, as it is.\nFirst point\nSecond point\nSaid somebody, once."),
+        ("<div class='cookie-notice'><p>We use cookies.</p><button>Fine</button></div><div id='post-12'><h2>Soup</h2><p>Cut the leeks and fry them.</p><pre>1 leek\n2 eggs</pre></div><form action='/s'><label>Search</label><input></form>", "Soup\nCut the leeks and fry them.\n1 leek 2 eggs"),
+    ]
+    for page, want in pages:
+        assert html_extraction.main_text(page, chain) == want
+
+
 def test_embedded_and_unclosed_elements_keep_their_text():
     said = lambda page: [b[0] for b in leaf_blocks(page)]
     for tag in ("math", "object", "audio", "video", "canvas", "svg", "iframe", "noscript"):
@@ -261,6 +338,9 @@ def test_extraction_on_the_tables_pages(spark):
         inside = re.search("<article>(.*?)</article>", pages[r.page_id], re.S).group(1)
         assert r.text.split() == html.unescape(re.sub("<[^>]*>", " ", inside)).split()
         assert r.n_chars == len(r.text)
+        lines = re.sub("</?(?:p|h[1-6]|li|ul|ol|blockquote|div|table|tr|td)[^>]*>", "\x00", re.sub("<br[^>]*>", " ", inside))
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in lines.split("\x00")]
+        assert r.text == "\n".join(x for x in blocks if x)
 
 
 def test_extraction_odd_rows(spark):
