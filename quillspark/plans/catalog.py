@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text, time
 from ..operators import daily, ranking, series
+from ..sources import documents
 from ..streaming import daily as streaming
 
 QUERIES: dict = {}
@@ -20,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Vocabulary of the word queries.
 WORDS = ["the", "that", "with", "from", "idiot", "trash", "license", "MIT", "Version", "der", "und", "que", "pour", "ción", "ß", "für"]
+#: Words that stand inside each other, letters other than A-Z among them.
+NESTED_WORDS = ["ión", "ción", "ación", "ó", "ßen", "eß", "être", "êt", "tion", "io", "für", "ür"]
 BURST_SECONDS = 3600
 DAY = dt.date(2024, 1, 15)
 
@@ -307,6 +310,26 @@ def word_counts(spark, sf_dir):
     return daily.word_counts(daily.match_words(table(spark, sf_dir, "documents").select("text", "source"), words, keep=("source",)))
 
 
+@query(f"""WITH v AS (SELECT unnest({NESTED_WORDS!r}) AS word)
+SELECT doc_id, word FROM documents, v WHERE CASE WHEN regexp_matches(word, '^[A-Za-z]+$') THEN regexp_matches(text, '(^|[^A-Za-z])' || word || '([^A-Za-z]|$)') ELSE contains(text, word) END AND length(word) >= 2""")
+def nested_words(spark, sf_dir):
+    """Documents with words that stand inside one another; each counts for itself. By one pass of an automaton."""
+    words = spark.createDataFrame([(w,) for w in NESTED_WORDS], "word string")
+    return daily.match_words(table(spark, sf_dir, "documents").select("doc_id", "text"), words, keep=("doc_id",), literals=0)
+
+
+@query(r"""WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS word FROM documents),
+c AS (SELECT source, word, count(*) AS articles FROM w WHERE word <> '' GROUP BY ALL HAVING count(*) >= 2)
+SELECT source, word, articles, row_number() OVER (PARTITION BY source ORDER BY articles DESC, icu_sort_key(word, 'root')) AS place FROM c""")
+def collated_words(spark, sf_dir):
+    """Place of each word of a source by count and root collation: mixed case, accents and ß. A window has a source's vocabulary, not its texts."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    w = d.select("source", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).where("word <> ''")
+    c = w.groupBy("source", "word").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= daily.LEAST)
+    order = Window.partitionBy("source").orderBy(F.desc("articles"), F.expr("word COLLATE UNICODE"))
+    return c.select("source", "word", "articles", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query("""WITH w AS (SELECT lower(event_type) AS word, count(*) AS articles FROM events GROUP BY 1)
 SELECT word, articles, row_number() OVER (ORDER BY articles DESC, word) AS place FROM w""")
 def word_order(spark, sf_dir):
@@ -382,10 +405,9 @@ def map_round_trip(spark, sf_dir):
 
 @query("""SELECT conv_id, arg_max(text, turn) AS last_text, count(*) AS turns, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id""")
 def last_turn(spark, sf_dir):
-    """Conversations as arrays of turns: the last element, the size and the distinct roles."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    roles = F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["role"])))
-    return turns.select("conv_id", nested.last(F.col("turns"))["text"].alias("last_text"), F.size("turns").cast("long").alias("turns"), F.array_join(roles, ",").alias("roles"))
+    """Conversations by their last turn, how many turns there are and the distinct roles; whole texts are not gathered."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "role", "text")).alias("last_text"), F.count(F.lit(1)).alias("turns"), F.collect_set("role").alias("roles"))
+    return c.select("conv_id", "last_text", "turns", F.array_join(F.array_sort("roles"), ",").alias("roles"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS claimed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), i AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS items FROM lineitem GROUP BY 1)
@@ -413,6 +435,96 @@ def silent_feeds(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
+@query("""SELECT c_custkey, n, first_at FROM (SELECT c_custkey, count(o_orderkey) AS n, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_at
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-07-01' GROUP BY 1)""")
+def feeds_of_a_term(spark, sf_dir):
+    """Feeds with their articles of half a year: some have none, some have several."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01' AND o_orderdate < TIMESTAMP_NTZ '1995-07-01'")
+    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").cast("date").cast("string").alias("first_at"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "first_at")
+
+
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01')""")
+def silent_of_a_year(spark, sf_dir):
+    """Feeds without an article in the year; the filter on the date reaches the scan."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01' AND o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select("o_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_suppkey) FILTER (l_returnflag = 'R') AS claimed, list(DISTINCT l_suppkey) FILTER (l_linenumber <= 2) AS items FROM lineitem GROUP BY 1)
+SELECT l_orderkey, len(claimed) AS claimed, coalesce(len(items), 0) AS items, list_has_all(coalesce(items, []), claimed) AS subset FROM s WHERE claimed IS NOT NULL""")
+def claimed_sources(spark, sf_dir):
+    """Whether the sources that a note claims are among its items, where they often are not."""
+    pick = lambda when: F.collect_set(F.when(F.expr(when), F.col("l_suppkey")))
+    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pick("l_returnflag = 'R'").alias("c"), pick("l_linenumber <= 2").alias("i"))
+    return s.where(F.size("c") > 0).select("l_orderkey", F.size("c").cast("long").alias("claimed"), F.size("i").cast("long").alias("items"), nested.is_subset(F.col("c"), F.col("i")).alias("subset"))
+
+
+@query(f"""WITH {_A}, t AS (SELECT day, count(*) AS trend, count(DISTINCT source) AS media FROM a WHERE genre <> 'error' GROUP BY 1),
+d AS (SELECT day, count(*) AS digest FROM a WHERE value > 50 GROUP BY 1 HAVING count(*) % 3 > 0)
+SELECT day, coalesce(digest, 0) AS digest, coalesce(trend, 0) AS trend, coalesce(trend, 0) - coalesce(digest, 0) AS missing FROM t FULL JOIN d USING (day)""")
+def digest_trend_gap(spark, sf_dir):
+    """Totals of a digest that leaves articles and days out, beside the trend's."""
+    a = _articles(spark, sf_dir).select("day", "genre", "value", "source")
+    t = a.where("genre <> 'error'").groupBy("day").agg(F.count(F.lit(1)).alias("trend"))
+    d = a.where("value > 50").groupBy("day").agg(F.count(F.lit(1)).alias("digest")).where("digest % 3 > 0")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return t.join(d, "day", "full_outer").select("day", zero("digest").alias("digest"), zero("trend").alias("trend"), (zero("trend") - zero("digest")).alias("missing"))
+
+
+@query(f"""WITH {_A}, t AS (SELECT day, genre || '-' || source AS id, count(*) AS coverage FROM a GROUP BY ALL HAVING count(*) >= 2),
+d AS (SELECT day, genre || '-' || source AS id, count(*) AS members FROM a WHERE hour(ts) < 12 GROUP BY ALL)
+SELECT day, id, coverage, members, coverage - members AS difference FROM t FULL JOIN d USING (day, id)""")
+def digest_trend_difference(spark, sf_dir):
+    """A day's topics beside the same ids of a digest made at noon: on both sides, with more or fewer members, or on one side alone."""
+    a = _articles(spark, sf_dir).select("day", F.concat_ws("-", "genre", F.col("source").cast("string")).alias("id"), "ts")
+    t = a.groupBy("day", "id").agg(F.count(F.lit(1)).alias("coverage")).where(F.col("coverage") >= daily.LEAST)
+    d = a.where(F.hour("ts") < 12).groupBy("day", "id").agg(F.count(F.lit(1)).alias("members"))
+    return t.join(d, ["day", "id"], "full_outer").withColumn("difference", F.col("coverage") - F.col("members"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
+SELECT id, n, c_name AS title, c_custkey IS NOT NULL AS found FROM p LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) ON c_custkey = id""")
+def popular_titles(spark, sf_dir):
+    """Counted ids with their article's title; articles of other segments are no longer there."""
+    p = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", F.col("c_name").alias("title"))
+    return p.join(c, F.col("c_custkey") == F.col("id"), "left").select("id", "n", "title", F.col("c_custkey").isNotNull().alias("found"))
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+old AS (SELECT o_custkey AS id, max(o_orderpriority) AS etag, count(*) AS count FROM o WHERE o_orderkey % 2 = 0 GROUP BY 1),
+new AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O') AS etag, arg_max(o_orderkey, o_orderkey) AS count FROM o WHERE o_orderkey % 2 = 1 GROUP BY 1)
+SELECT coalesce(new.id, old.id) AS id, coalesce(new.etag, old.etag) AS etag, coalesce(new.count, old.count) AS count FROM old FULL JOIN new ON old.id = new.id""")
+def upsert_state(spark, sf_dir):
+    """Feed state with later replies, several of a feed among them; a reply without validator leaves the old one."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP_NTZ '1998-01-01'")
+    old = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("etag"), F.count(F.lit(1)).alias("count"))
+    new = o.where("o_orderkey % 2 = 1").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("etag"), F.col("o_orderkey").alias("count"))
+    return documents.upsert(old, new, "id", order="count")
+
+
+@query("""SELECT c_custkey AS id, o_orderkey AS request, CAST(o_orderdate AS VARCHAR) AS at FROM customer JOIN orders ON c_custkey = o_custkey
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_request(spark, sf_dir):
+    """The newest request of each id."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("request"), F.struct("o_orderdate", "o_orderkey").alias("order"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    best = documents.latest(o, "id", "order").join(known, "id", "left_semi")
+    return best.select("id", "request", F.date_format("order.o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS topic, l_returnflag AS text, l_suppkey AS source FROM lineitem)
+SELECT topic, count(DISTINCT text) AS claims, count(DISTINCT source) AS sources, string_agg(DISTINCT CAST(source AS VARCHAR), ',' ORDER BY CAST(source AS VARCHAR)) AS named FROM n GROUP BY topic""")
+def note_sources(spark, sf_dir):
+    """Notes with nested claims, common[].sources[], and all sources that they name."""
+    source = F.col("l_suppkey").cast("string").alias("source")
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("topic"), F.col("l_returnflag").alias("text"), source).groupBy("topic", "text").agg(F.collect_set("source").alias("sources"))
+    notes = claims.groupBy("topic").agg(F.collect_list(F.struct("text", "sources")).alias("common"))
+    named = nested.all_sources(F.col("common"))
+    return notes.select("topic", F.size("common").cast("long").alias("claims"), F.size(named).cast("long").alias("sources"), F.array_join(named, ",").alias("named"))
+
+
 @query("SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def doc_labels(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
@@ -467,6 +579,12 @@ def title_topics(spark, sf_dir):
     return g.where(F.col("coverage") >= daily.LEAST).select("topic", "coverage", "media")
 
 
+@query(f"WITH {_A} SELECT day, CAST(count(*) AS BIGINT) AS articles, count(DISTINCT source) AS media FROM a GROUP BY day")
+def streaming_exact_totals(spark, sf_dir):
+    """The exact streaming plan over the table; the stream itself is in the tests."""
+    return streaming.exact_daily_totals(table(spark, sf_dir, "events"))
+
+
 @query()
 def streaming_totals(spark, sf_dir):
     """The streaming plan over the table; the stream itself is in the tests."""

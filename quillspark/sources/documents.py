@@ -45,15 +45,20 @@ def popularity(popular: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, by: str = "date") -> None:
-    """Rewrite the partitions that df has rows of; the others stay. One exchange by `by` keeps files few."""
-    df.repartition(F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Rewrite the partitions that df has rows of; the others stay. One exchange keeps files few; a large day is split over tasks."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """old with what is set in new's row of the same key; rows of new keys are added.
 
-    Validators and times that a reply leaves out (null in new) stay as they were.
+    Validators and times that a reply leaves out (null in new) stay as they were. new
+    may have several rows of a key if order names one of its columns: then each field
+    is the one set last. Rows without key are added as they are.
     """
+    if order:
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+        new = new.where(F.col(key).isNotNull()).groupBy(key).agg(*[last(c) for c in new.columns if c != key]).select(*new.columns).unionByName(new.where(F.col(key).isNull()))
     fresh = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns])
     joined = old.join(fresh, F.col(key) == F.col(f"new_{key}"), "full_outer")
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns])

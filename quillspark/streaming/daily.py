@@ -27,6 +27,18 @@ def daily_totals(events: DataFrame, at: str = "ts", source: str = "user_id", lat
     return counted.select(F.to_date("window.start").cast("string").alias("day"), "articles", "media")
 
 
+def exact_daily_totals(events: DataFrame, at: str = "ts", source: str = "user_id", late: str = LATE) -> DataFrame:
+    """daily_totals() with an exact count of sources: (day, source) first, then the day; its state has a row for each source of an open day.
+
+    On streams in append mode only.
+    """
+    stamped = events.withColumn("_at", (F.col(at) + F.expr(f"INTERVAL {AHEAD} HOURS")).cast("timestamp"))
+    parts = stamped.withWatermark("_at", late).groupBy(F.window("_at", "1 day"), source).agg(F.count(F.lit(1)).alias("n"))
+    days = parts.select(F.window_time("window").alias("_at"), "n", source).groupBy(F.window("_at", "1 day"))
+    counted = days.agg(F.sum("n").alias("articles"), F.count(source).alias("media"))
+    return counted.select(F.to_date("window.start").cast("string").alias("day"), "articles", "media")
+
+
 def write_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write what is there now and stop; a later call goes on from the checkpoint."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)

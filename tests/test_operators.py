@@ -51,6 +51,10 @@ def test_word_matches_respect_latin_borders(spark):
     got = {(r.id, r.word) for r in daily.match_words(df, words, keep=("id",)).collect()}
     want = {(1, "GP"), (2, "ブラジル"), (2, "ブラジル戦"), (3, "ブラジル")}
     assert got == want
+    for literals, most in ((0, 100), (0, 1), (100, 2), (100, 1)):  # by automata, and in several scans
+        found = daily.match_words(df, words, keep=("id",), literals=literals, most=most).collect()
+        assert {(r.id, r.word) for r in found} == want and len(found) == len(want)
+    assert daily.match_words(df, words.limit(0), keep=("id",)).count() == 0
     assert {(r.id, r.w) for r in df.crossJoin(words.where("length(word) > 1")).select("id", F.col("word").alias("w"), "text").collect() if r.text and (r.w in r.text and (r.id, r.w) != (2, "GP"))} == want
 
 
@@ -163,3 +167,26 @@ def test_stream_writes_closed_days_and_goes_on(spark, tmp_path):
         streaming.write_available(streaming.daily_totals(streaming.event_stream(spark, source, rows.schema)), out, mark).awaitTermination()
     got = sorted((r.day, r.articles) for r in spark.read.schema("day string, articles long, media long").parquet(out).collect())
     assert got == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 1)]
+
+
+def test_exact_stream_counts_sources_of_closed_days(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").select("ts", "user_id")
+    parts = [events.where("user_id % 2 = 0"), events.where("user_id % 2 = 1")]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = streaming.exact_daily_totals(streaming.event_stream(spark, f"{tmp_path}/in/*", events.schema))
+    streaming.write_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    days = {}
+    for r in events.collect():
+        day = str((r.ts + dt.timedelta(hours=9)).date())
+        days.setdefault(day, []).append(r.user_id)
+    want = sorted((d, len(u), len(set(u))) for d, u in days.items())
+    assert got == want[: len(got)] and len(got) >= len(want) - 4
+
+
+def test_upsert_takes_the_last_set_field_of_repeated_keys(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), (None, "n", 3)], "id string, etag string, at int")
+    new = spark.createDataFrame([("a", "p", 5), ("a", None, 7), ("c", None, 6), ("c", "q", 4), (None, "z", 9)], "id string, etag string, at int")
+    got = sorted(map(tuple, documents.upsert(old, new, "id", order="at").collect()), key=repr)
+    assert got == sorted([("a", "p", 7), ("b", "y", 2), ("c", "q", 6), (None, "n", 3), (None, "z", 9)], key=repr)
