@@ -146,10 +146,15 @@ def store(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def addresses(rows: DataFrame) -> DataFrame:
-    """One place (digest, shard, offset, length) for each digest, in the order of the shards, in parts of PART_BYTES of images at most or so."""
+    """One place (digest, shard, offset, length) for each digest, in the order of the shards."""
     place = F.min(F.struct("shard", "offset", "length")).alias("at")
-    size = rows.agg(F.sum("length")).first()[0] or 0
-    return rows.groupBy("digest").agg(place).select("digest", "at.*").repartitionByRange(max(1, -(-size // PART_BYTES)), "shard", "offset")
+    return rows.groupBy("digest").agg(place).select("digest", "at.*").repartitionByRange("shard", "offset")
+
+
+def in_parts(places: DataFrame) -> DataFrame:
+    """places dealt by shard and offset into parts of about PART_BYTES of images, for steps that read them whole."""
+    size = places.agg(F.sum("length")).first()[0] or 0
+    return places.repartitionByRange(max(1, -(-size // PART_BYTES)), "shard", "offset")
 
 
 class _Reader:
@@ -217,7 +222,7 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     root = root or scratch_path(docs.sparkSession, "payloads")
     rows = store(docs, root, id_col, text_col)
     places = materialize(with_headers(addresses(rows), root), "places")
-    read = materialize(with_features(places, root), "features")
+    read = materialize(with_features(in_parts(places), root), "features")
     found = materialize(places.select("digest", "shard", "offset", "length", "width", "height").join(read, "digest"), "media_index")
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
 
