@@ -5,12 +5,14 @@ encodes a piece once and remembers its ids. Unseen pieces are merged together:
 every piece is a row of a matrix of symbols, and its row of a second matrix is a
 segment tree whose leaves are the ranks of adjacent pairs. The root is the
 leftmost lowest-rank pair; a merge changes three leaves and the nodes above them.
+Where few pieces are as long, each has a tree of its own in plain integers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 REMEMBERED = 700_000
 #: Symbols that are merged together at once.
 TOGETHER = 1 << 20
+#: Fewer pieces of one width are merged one by one: a step over a matrix costs as much as so many single merges.
+FEW = 32
 
-NONE = np.iinfo(np.int64).max
+NONE = int(np.iinfo(np.int64).max)
 
 
 def default_vocabulary() -> str:
@@ -65,6 +69,7 @@ class BytePairs:
         order = np.argsort(key)
         self.keys, self.rank_of = key[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank, self.becomes = dict(zip(key.tolist(), range(len(key)), strict=True)), self.merged.tolist()
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -74,18 +79,11 @@ class BytePairs:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
-    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Merge each row of symbols (as wide as a power of two, filled up with -1) in place.
-
-        A symbol that a merge has taken up becomes -1.
-        """
+    def plant(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The segment tree of each row of symbols; leaf i is the rank of the pair that starts at symbol i, above the place i."""
         n, width = symbols.shape
         flat, tree = symbols.reshape(-1), np.full(n * 2 * width, NONE)
-        column = np.arange(width)
-        right = np.tile(np.minimum(column + 1, width), n)
-        left = np.tile(column - 1, n)
-        # leaf i of a row: rank of the pair that starts at symbol i, above the place i
-        pairs = np.flatnonzero((column[None, :] < lengths[:, None] - 1).reshape(-1))
+        pairs = np.flatnonzero((np.arange(width)[None, :] < lengths[:, None] - 1).reshape(-1))
         rank = self.ranks(flat[pairs], flat[pairs + 1])
         found = rank >= 0
         row, place = np.divmod(pairs[found], width)
@@ -94,6 +92,59 @@ class BytePairs:
         while level:
             np.minimum(nodes[:, 2 * level : 4 * level : 2], nodes[:, 2 * level + 1 : 4 * level : 2], out=nodes[:, level : 2 * level])
             level //= 2
+        return tree
+
+    def merge_one(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge one row of symbols; what is left of them."""
+        n = len(symbols)
+        width = 1 << max(1, (n - 1).bit_length())
+        padded = np.full((1, width), -1, np.int64)
+        padded[0, :n] = symbols
+        tree = array("q", self.plant(padded, np.array([n])).tobytes())
+        flat, right, left = (array("q", x.astype(np.int64).tobytes()) for x in (symbols, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        rank, becomes, size = self.rank.get, self.becomes, self.size
+
+        def update(place: int, value: int) -> None:
+            node = width + place
+            while tree[node] != value:
+                tree[node] = value
+                if node == 1:
+                    return
+                beside = tree[node ^ 1]
+                node >>= 1
+                if beside < value:
+                    value = beside
+
+        def renew(place: int, after: int) -> None:
+            r = rank(flat[place] * size + flat[after])
+            update(place, NONE if r is None else r << 32 | place)
+
+        while (root := tree[1]) != NONE:
+            at = root & 0xFFFFFFFF
+            gone = right[at]
+            after = right[at] = right[gone]
+            flat[at], flat[gone] = becomes[root >> 32], -1
+            update(gone, NONE)
+            if after < n:
+                left[after] = at
+                renew(at, after)
+            else:
+                update(at, NONE)
+            if left[at] >= 0:
+                renew(left[at], at)
+        out = np.frombuffer(flat, np.int64)
+        return out[out >= 0]
+
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Merge each row of symbols (as wide as a power of two, filled up with -1) in place.
+
+        A symbol that a merge has taken up becomes -1.
+        """
+        n, width = symbols.shape
+        flat, tree = symbols.reshape(-1), self.plant(symbols, lengths)
+        column = np.arange(width)
+        right = np.tile(np.minimum(column + 1, width), n)
+        left = np.tile(column - 1, n)
 
         def update(row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
             base, node = row * 2 * width, width + place
@@ -135,6 +186,10 @@ class BytePairs:
         widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for width in np.unique(widths):
             mine = np.flatnonzero(widths == width)
+            if len(mine) < FEW:
+                for i in mine.tolist():
+                    out[i] = self.merge_one(self.byte_id[np.frombuffer(pieces[i], np.uint8)]).astype("<u4").tobytes()
+                continue
             step = max(1, TOGETHER // int(width))
             for k in range(0, len(mine), step):
                 some = mine[k : k + step]

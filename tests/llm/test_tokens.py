@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +49,24 @@ def test_segment_tree_picks_leftmost_lowest_rank(piece):
     assert MODEL.encode_pieces([piece]) == [np.array(symbols, "<u4").tobytes()]
 
 
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_pieces_alone_and_together_merge_alike(monkeypatch, few):
+    monkeypatch.setattr(bpe, "FEW", few)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("etaoinshr"), n)) for n in (1, 2, 3, 5, 64, 65, 700, 701)]
+    assert bpe.BytePairs(bpe.default_vocabulary()).encode_batch(texts) == [ids(LIBRARY, t) for t in texts]
+
+
+def test_one_very_long_piece():
+    """Letters without any space: one piece, with as many merges as it has letters."""
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("etaoinshrdlué"), 40_000))
+    began = time.process_time()
+    (mine,) = MODEL.encode_batch([text])
+    assert time.process_time() - began < 5
+    assert mine == ids(LIBRARY, text)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     monkeypatch.setattr(packing, "REMEMBERED", 5)
