@@ -20,10 +20,24 @@ def top(df: DataFrame, k: int = TOP, **columns: str) -> DataFrame:
     return ranked(df, **columns).where(F.col("rank") <= k)
 
 
+def _digest_first(coverage: str, at: str, key: str) -> list:
+    return [F.desc(F.coalesce(coverage, F.lit(1))), F.desc(at), F.asc(key)]
+
+
 def digest_order(df: DataFrame, day: str = "day", coverage: str = "coverage", at: str = "at", key: str = "id") -> DataFrame:
-    """place within the day: coverage descending, null counting as 1, then newest first."""
-    order = Window.partitionBy(day).orderBy(F.desc(F.coalesce(coverage, F.lit(1))), F.desc(at), F.asc(key))
-    return df.withColumn("place", F.row_number().over(order))
+    """place within the day: coverage descending, null counting as 1, then newest first (null last), then key.
+
+    at is a time. Rows are numbered within (day, coverage, minute), and the sizes of those
+    groups say how many rows come before each, so no window holds all rows of a day.
+    """
+    keys = ["day", "weight", "minute"]
+    parts = df.select(F.struct("*").alias("row"), F.col(day).alias("day"), F.coalesce(coverage, F.lit(1)).alias("weight"), F.date_trunc("minute", at).alias("minute"))
+    earlier = Window.partitionBy("day").orderBy(F.desc("weight"), F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*keys).orderBy(F.desc(F.col("row")[at]), F.asc(F.col("row")[key]))
+    placed = parts.withColumn("number", F.row_number().over(inside)).join(starts, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return placed.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "place"], (F.col("start") + F.col("number")).alias("place"))
 
 
 def top_with_kept(now: DataFrame, before: DataFrame, k: int = TOP, day: str = "day", key: str = "id", **columns: str) -> DataFrame:
@@ -36,8 +50,12 @@ def top_with_kept(now: DataFrame, before: DataFrame, k: int = TOP, day: str = "d
 
 
 def digest(df: DataFrame, cap: int, day: str = "day", genre: str = "genre", coverage: str = "coverage", at: str = "at", key: str = "id", floor: int = FLOOR) -> DataFrame:
-    """The first rows of each day's digest after genre_floor, at most cap. How the source data chooses its cap is unknown."""
-    return digest_order(genre_floor(df, day, genre, coverage, at, key, floor), day, coverage, at, key).where(F.col("place") <= cap)
+    """The first rows of each day's digest after genre_floor, at most cap; each task keeps cap rows a day before the shuffle.
+
+    How the source data chooses its cap is unknown.
+    """
+    order = Window.partitionBy(day).orderBy(*_digest_first(coverage, at, key))
+    return genre_floor(df, day, genre, coverage, at, key, floor).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
 
 
 def genre_floor(df: DataFrame, day: str = "day", genre: str = "genre", coverage: str = "coverage", at: str = "at", key: str = "id", floor: int = FLOOR) -> DataFrame:

@@ -23,6 +23,15 @@ def coverage_steps(covered: DataFrame, key: str = "id", day: str = "day") -> Dat
     return out.withColumn("holds", F.col("coverage") == F.coalesce("coverage_before", F.lit(0)) + F.col("added"))
 
 
+def first_at(df: DataFrame, key: str = "id", day: str = "day", at: str = "at") -> DataFrame:
+    """(key, day, first_at, stable): the least time of key among its rows up to each day, and whether the day before had the same."""
+    past = Window.partitionBy(key).orderBy(day)
+    days = df.groupBy(key, day).agg(F.min(at).alias("_least"))
+    days = days.withColumn("first_at", F.min("_least").over(past.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("first_at").over(past)
+    return days.select(key, day, "first_at", (before.isNull() | before.eqNullSafe(F.col("first_at"))).alias("stable"))
+
+
 def burst(df: DataFrame, seconds: int, key: str = "id", at: str = "at", by: tuple[str, ...] = ()) -> DataFrame:
     """(key, by, burst): the most rows of key in any `seconds` up to one of its rows.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
+from .scratch import file_system
 
 
 def read_days(spark: SparkSession, path: str, schema: str = schemas.TREND) -> DataFrame:
@@ -25,6 +26,32 @@ def read_map(spark: SparkSession, path: str, schema: str = schemas.FEED, key: st
     return root.select(F.explode("m").alias(key, "v")).select(key, "v.*")
 
 
+def _name_files(spark: SparkSession, path: str) -> None:
+    """path/<column>=<value>/part-* becomes path/<value>.json."""
+    fs, root = file_system(spark, path)
+    for status in fs.listStatus(root):
+        if status.isDirectory():
+            folder = status.getPath()
+            (part,) = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+            fs.rename(part, root.suffix("/" + folder.getName().split("=", 1)[1] + ".json"))
+            fs.delete(folder, True)
+
+
+def write_named(df: DataFrame, path: str, name: str) -> None:
+    """One JSON file, path/<value of name>.json, for each row of df; no two rows may have one name.
+
+    Executors write the files; the driver only renames them, one for each day or month.
+    """
+    df.write.mode("overwrite").partitionBy(name).json(path)
+    _name_files(df.sparkSession, path)
+
+
+def write_arrays(df: DataFrame, path: str, name: str, rows: str) -> None:
+    """write_named() for files whose root is an array: the column rows holds the objects of the file."""
+    df.select(name, F.to_json(rows)).write.mode("overwrite").partitionBy(name).text(path)
+    _name_files(df.sparkSession, path)
+
+
 def genre_days(trends: DataFrame) -> DataFrame:
     return trends.select("date", F.explode("genres").alias("genre", "v")).select("date", "genre", "v.*")
 

@@ -3,14 +3,17 @@ from collections import Counter
 
 import pytest
 
-from quillspark.plans import catalog
+from quillspark.plans import catalog, published
 
 from .compare import DATA, same
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+QUERIES, ORACLE_SQL = catalog.QUERIES | published.QUERIES, catalog.ORACLE_SQL | published.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
-    same(catalog.QUERIES[name](spark, DATA), catalog.ORACLE_SQL[name])
+    same(QUERIES[name](spark, DATA), ORACLE_SQL[name])
 
 
 def test_popular_order_all_has_every_id_in_order(spark):
@@ -22,7 +25,7 @@ def test_popular_order_all_has_every_id_in_order(spark):
 
 def test_entry_has_every_query(spark):
     entry = importlib.import_module("__spark_entry__")
-    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 

@@ -68,6 +68,35 @@ def test_rank_ties_go_by_id(spark):
     assert [r.id for r in ranking.top(df, 3).orderBy("rank").collect()] == ["z", "c", "a"]
 
 
+def test_digest_places_are_those_of_one_window(spark):
+    rows = [(i, f"d{i % 2}" if i % 17 else None, [None, 1, 2, 3][i % 4], f"2024-01-01 0{i % 3}:0{i % 5}:{i % 50:02d}" if i % 11 else None, "x") for i in range(200)]
+    df = spark.createDataFrame([*rows, (500, "d0", None, None, "x"), (501, "d0", None, None, "x")], "id int, day string, coverage int, at string, _start string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = {(r.day, r.id): r.place for r in ranking.digest_order(df).collect()}
+    want = {}
+    for day in ("d0", "d1", None):
+        mine = [r for r in df.collect() if r.day == day]
+        mine.sort(key=lambda r: (-(r.coverage or 1), r.at is None, -(r.at.timestamp() if r.at else 0), r.id))
+        want |= {(day, r.id): k + 1 for k, r in enumerate(mine)}
+    assert got == want
+    assert ranking.digest_order(df.limit(0)).count() == 0
+
+
+def test_first_time_of_a_topic_moves_only_back(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), ("a", 2, 6), ("a", 3, 4), ("a", 4, 9), ("b", 2, None), ("b", 3, 1)], "id string, day int, at int")
+    got = sorted((r.id, r.day, r.first_at, r.stable) for r in series.first_at(df).collect())
+    assert got == [("a", 1, 5, True), ("a", 2, 5, True), ("a", 3, 4, False), ("a", 4, 4, True), ("b", 2, None, True), ("b", 3, 1, True)]
+
+
+def test_files_are_named_by_day_and_month(spark, tmp_path):
+    days = spark.sql("SELECT '2024-01-01' AS name, date'2024-01-01' AS date, 3 AS articles UNION ALL SELECT '2024-01-02', date'2024-01-02', 4")
+    documents.write_named(days, str(tmp_path / "days"), "name")
+    assert sorted(p.name for p in (tmp_path / "days").glob("*.json")) == ["2024-01-01.json", "2024-01-02.json"]
+    assert sorted((str(r.date), r.articles) for r in documents.read_days(spark, str(tmp_path / "days")).collect()) == [("2024-01-01", 3), ("2024-01-02", 4)]
+    months = spark.sql("SELECT '2024-01' AS name, array(named_struct('topic', 'a'), named_struct('topic', 'b')) AS notes UNION ALL SELECT '2024-02', array(named_struct('topic', 'c'))")
+    documents.write_arrays(months, str(tmp_path / "months"), "name", "notes")
+    assert sorted((r.month, r.topic) for r in documents.read_months(spark, str(tmp_path / "months"), schemas.NOTE).collect()) == [("2024-01", "a"), ("2024-01", "b"), ("2024-02", "c")]
+
+
 def test_floor_fills_up_to_five(spark):
     rows = [("g", i, None, i) for i in range(10)] + [("g", 100, 3, 0)] + [("h", 200 + i, 2, i) for i in range(6)] + [("h", 300, None, 9)]
     df = spark.createDataFrame([("d", *r) for r in rows], "day string, genre string, id int, coverage int, at int")
