@@ -56,6 +56,9 @@ RULES = [
 ]
 # Sentences and rules of the whole licence texts, beside the short forms above. A name may be in both.
 WHOLE_SENTENCES = {
+    "cc-by-nc4-notice": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by4-notice": ["This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa4-notice": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-condition": ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."],
     "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
@@ -134,6 +137,14 @@ def _pattern(known: dict[str, str]) -> str:
     return "(?<=[PL] )(?:" + "|".join(s.replace(" ", " (?:L )?") for s in forms) + ")(?= [PL])"
 
 
+#: Where a licence names its holder: what stands before and after, and the form that is known. A name has at most so many words, ends of lines and full stops counted.
+HOLDERS = [
+    ("neither the name of", "nor the names of its contributors", "the copyright holder"),
+    ("this software is provided by", "as is and any express or implied warranties", "the copyright holders and contributors"),
+]
+HOLDER_WORDS = 40
+
+
 def found_sentences(text: Column, known: dict[str, str]) -> Column:
     """array<string>: identifiers of the known sentences in text, in order.
 
@@ -144,9 +155,12 @@ def found_sentences(text: Column, known: dict[str, str]) -> Column:
     table_ = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     plain = F.regexp_replace(_lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
     # P and L, which lower case has left free: the end of a sentence, and of a line within one
-    plain = F.regexp_replace(plain, r"[.!?][ \t]+|[.!?][ \t]*\n|\n(?:[^a-z0-9\n]*\n)+", " P ")
+    plain = F.regexp_replace(plain, r"[.!?][ \t]+|[.!?][ \t]*\n|\n[^a-z0-9]*\n", " P ")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\n", " L "), "[^a-z0-9PL]+", " ")
     marked = F.concat(F.lit("P "), F.trim(plain), F.lit(" P"))
+    for before, after, usual in HOLDERS:
+        lines = [x.replace(" ", " (?:L )?") for x in (before, after)]
+        marked = F.regexp_replace(marked, f"{lines[0]} (?:[a-z0-9PL]+ ){{1,{HOLDER_WORDS}}}?{lines[1]}(?= )", f"{before} {usual} {after}")
     whole = F.regexp_extract_all(marked, F.lit(_pattern(known)), F.lit(0))
     return F.transform(whole, lambda s: F.element_at(table_, F.replace(s, F.lit(" L "), F.lit(" "))))
 
