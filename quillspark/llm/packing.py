@@ -159,8 +159,9 @@ def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float],
 def pack(cut: DataFrame, capacity: int = 2048, max_documents: int | None = None, max_attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to the rows of pieces(); every row is placed.
 
-    The pieces are dealt by a hash into groups of about group_pieces, so memory
-    is bounded at every input size and each group wastes at most its last bins.
+    The pieces are dealt by a hash of their id and of where they were read into groups
+    of about group_pieces, so many pieces of one id or of none are spread too, and each
+    group wastes at most its last bins.
     Without limits of their own, document count and attention cost bind no
     earlier than tokens. No piece may be longer than capacity, and none may
     exceed max_attention alone. An empty table gives an empty table.
@@ -176,7 +177,7 @@ def pack(cut: DataFrame, capacity: int = 2048, max_documents: int | None = None,
         part["offset"] = offsets
         return part.drop(columns="pack_group")
 
-    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("pack_group").applyInPandas(place, schema)
 
