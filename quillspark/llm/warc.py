@@ -7,6 +7,7 @@ import codecs
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 import zlib
@@ -26,13 +27,16 @@ VERSION = b"WARC/1.0"
 EPOCH = "1970-01-01T00:00:00Z"
 #: Name space of record ids that are derived from what a record says.
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ANCHOR = re.compile(r"<a(?=\s)", re.I)
+_HREF = re.compile(r"\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
 _META = re.compile(rb"<meta\s[^>]{0,400}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
 # Byte order marks, and a name that browsers read as another.
 _MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _SAME = {"iso8859-1": "cp1252", "ascii": "cp1252"}
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
+_TITLE, _TITLE_END = re.compile(r"<title", re.I), re.compile(r"</title", re.I)
+#: A payload that grows beyond this when it is decoded is an error of its record.
+MOST_BYTES = 256 << 20
 
 
 def digest(data: bytes) -> str:
@@ -116,16 +120,39 @@ def _unchunked(data: bytes) -> bytes:
         at = line + 2 + size + 2
 
 
-def _inflated(data: bytes, coding: str) -> bytes:
+def _inflated(data: bytes, coding: str, most: int = MOST_BYTES) -> bytes:
+    """data without its content coding; one of more than `most` bytes raises before it is held whole."""
     if coding in ("gzip", "x-gzip"):
-        return gzip.decompress(data)
-    if coding == "deflate":  # with or without zlib's header
-        return zlib.decompress(data) if data[:1] and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0 else zlib.decompress(data, -15)
-    if coding == "zstd":
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    if coding in ("", "identity"):
-        return data
-    raise ValueError(f"content coding {coding} is not known")
+        out = gzip.GzipFile(fileobj=io.BytesIO(data)).read(most + 1)
+    elif coding == "deflate":  # with or without zlib's header
+        inflater = zlib.decompressobj() if data[:1] and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0 else zlib.decompressobj(-15)
+        out = inflater.decompress(data, most + 1)
+        if not inflater.eof and len(out) <= most:
+            raise ValueError("the payload breaks off")
+    elif coding == "zstd":
+        out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
+    elif coding in ("", "identity"):
+        out = data
+    else:
+        raise ValueError(f"content coding {coding} is not known")
+    if len(out) > most:
+        raise ValueError(f"the payload has more than {most} bytes")
+    return out
+
+
+def page_title(page: str) -> str | None:
+    """What stands in the first title element that is closed; each character is looked at a bounded number of times."""
+    start = _TITLE.search(page)
+    begin = page.find(">", start.end()) if start else -1
+    end = _TITLE_END.search(page, begin + 1) if begin >= 0 else None
+    return page[begin + 1 : end.start()] if end else None
+
+
+def page_links(page: str) -> list[str]:
+    """The href of each a element, in order: each is looked for up to the next element of that name."""
+    starts = [m.end() for m in _ANCHOR.finditer(page)]
+    found = [_HREF.match(page, a, b) for a, b in zip(starts, [*starts, len(page)][1:], strict=True)]
+    return [m.group(1) or m.group(2) or m.group(3) or "" for m in found if m]
 
 
 def body(http: list[tuple[str, str]], payload: bytes) -> bytes:
@@ -190,9 +217,8 @@ def derive(source: Record) -> tuple[Record, Record, str | None]:
     origin = [("source-status", _one_line(status))]
     origin += [(f"source-header-{k.lower()}", _one_line(v)) for k, v in http]
     origin += [(name, value) for name, key in (("source-payload-digest", "WARC-Payload-Digest"), ("source-block-digest", "WARC-Block-Digest")) if (value := source.get(key))]
-    title = _TITLE.search(page)
-    fields = [*origin, ("title", _one_line(html.unescape(title.group(1))) if title else "")]
-    fields += [("outlink", _one_line(html.unescape(a or b or c))) for a, b, c in _LINK.findall(page)]
+    fields = [*origin, ("title", _one_line(html.unescape(page_title(page) or "")))]
+    fields += [("outlink", _one_line(html.unescape(link))) for link in page_links(page)]
     if error:
         fields.append(("source-error", _one_line(error)))
     block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
