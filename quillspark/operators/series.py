@@ -76,3 +76,23 @@ def health(df: DataFrame, key: str = "id", at: str = "at", failed: str = "failed
     """(key, checks, ok_at, failed_at, healthy): times of the last success and failure; healthy where the success is later."""
     out = df.groupBy(key).agg(F.count(F.lit(1)).alias("checks"), F.max(F.when(~F.col(failed), F.col(at))).alias("ok_at"), F.max(F.when(F.col(failed), F.col(at))).alias("failed_at"))
     return out.withColumn("healthy", F.coalesce(F.col("ok_at") > F.col("failed_at"), F.col("failed_at").isNull()))
+
+
+def lives(df: DataFrame, seconds: int, key: str = "id", at: str = "at") -> DataFrame:
+    """(key, life, first, last, days, rows, longest_gap, expired): the lives of each key, which end where it is not seen for more than `seconds`.
+
+    at is in whole seconds, and `seconds` a day or more. Rows are first reduced to one for
+    each (key, day): gaps inside a day cannot end a life, so a window holds a key's days,
+    however often it is seen. A life has expired if it ended more than `seconds` before
+    the last row of all. Lives count from 1.
+    """
+    if seconds < 86400:
+        raise ValueError("a life's gap is a day or more")
+    day = F.floor(F.col(at) / 86400)
+    inside = Window.partitionBy(key).orderBy("_day")
+    days = df.groupBy(key, day.alias("_day")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("rows"))
+    gap = F.col("first") - F.lag("last").over(inside)
+    days = days.withColumn("gap", gap).withColumn("life", 1 + F.sum(F.when(F.col("gap") > seconds, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = days.groupBy(key, "life").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("days"), F.sum("rows").alias("rows"), F.max(F.when(F.col("gap") <= seconds, F.col("gap"))).alias("longest_gap"))
+    end = out.agg(F.max("last").alias("_end"))  # one row
+    return out.join(F.broadcast(end), F.lit(True)).withColumn("expired", F.col("_end") - F.col("last") > seconds).drop("_end")

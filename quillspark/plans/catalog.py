@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text, time
 from ..operators import daily, ranking, series
+from ..operators.places import places
 from ..sources import documents
+from ..sources.scratch import written
 from ..streaming import daily as streaming
 
 QUERIES: dict = {}
@@ -144,9 +146,10 @@ _COVERED = f"""{_A}, c AS (SELECT id, day, genre, source, ts, CASE WHEN count(*)
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the coverage of their topic, written once for all that a digest asks of them."""
     a = _articles(spark, sf_dir)
     n = daily.topics(a, ["day", "genre", "source"])
-    return a.select("id", "day", "genre", "source", F.col("ts").alias("at")).join(n, ["day", "genre", "source"], "left")
+    return written(a.select("id", "day", "genre", "source", F.col("ts").alias("at")).join(n, ["day", "genre", "source"], "left"), "covered")
 
 
 @query(f"WITH {_COVERED} SELECT id, day, row_number() OVER (PARTITION BY day ORDER BY coalesce(coverage, 1) DESC, ts DESC, id) AS place FROM c")
@@ -181,11 +184,11 @@ def top_with_kept(spark, sf_dir):
 
 
 @query(f"""WITH {_A}, n AS (SELECT source AS id, count(*) AS n FROM a GROUP BY source)
-SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS place FROM n QUALIFY place <= 100""")
+SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS place FROM n""")
 def popular_order(spark, sf_dir):
-    """The hundred most frequent ids; a top list, so ranking goes over what a limit has left."""
-    n = _articles(spark, sf_dir).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(100)
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "id")).cast("long"))
+    """Every id with its place by count, by ranges."""
+    n = _articles(spark, sf_dir).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return places(n, [F.desc("n"), F.asc("id")])
 
 
 @query(f"WITH {_A} SELECT source AS id, count(*) AS n FROM a GROUP BY source ORDER BY n DESC, id")
@@ -322,21 +325,19 @@ def nested_words(spark, sf_dir):
 c AS (SELECT source, word, count(*) AS articles FROM w WHERE word <> '' GROUP BY ALL HAVING count(*) >= 2)
 SELECT source, word, articles, row_number() OVER (PARTITION BY source ORDER BY articles DESC, icu_sort_key(word, 'root')) AS place FROM c""")
 def collated_words(spark, sf_dir):
-    """Place of each word of a source by count and root collation: mixed case, accents and ß. A window has a source's vocabulary, not its texts."""
+    """Place of each word of a source by count and root collation: mixed case, accents and ß. By ranges, so a source's vocabulary is spread."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     w = d.select("source", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).where("word <> ''")
     c = w.groupBy("source", "word").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") >= daily.LEAST)
-    order = Window.partitionBy("source").orderBy(F.desc("articles"), F.expr("word COLLATE UNICODE"))
-    return c.select("source", "word", "articles", F.row_number().over(order).cast("long").alias("place"))
+    return places(c, [F.desc("articles"), F.expr("word COLLATE UNICODE"), F.col("word")], ["source"])
 
 
 @query("""WITH w AS (SELECT lower(event_type) AS word, count(*) AS articles FROM events GROUP BY 1)
 SELECT word, articles, row_number() OVER (ORDER BY articles DESC, word) AS place FROM w""")
 def word_order(spark, sf_dir):
-    """Place of each word by count and root collation; the vocabulary is small, and so is this window."""
+    """Place of each word by count and root collation, by ranges."""
     w = table(spark, sf_dir, "events").groupBy(F.lower("event_type").alias("word")).agg(F.count(F.lit(1)).alias("articles"))
-    order = Window.orderBy(F.desc("articles"), F.expr("word COLLATE UNICODE"))
-    return w.select("word", "articles", F.row_number().over(order).cast("long").alias("place"))
+    return places(w, [F.desc("articles"), F.expr("word COLLATE UNICODE"), F.col("word")])
 
 
 @query(f"""WITH {_A}, d AS (SELECT json_extract_string(props, '$.k') AS word, day, count(*) AS n FROM a GROUP BY ALL HAVING count(*) >= 2),

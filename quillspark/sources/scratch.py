@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -47,3 +47,15 @@ def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone by then
         fs, p = file_system(spark, path)
         fs.delete(p, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what is used twice is computed once, and a lost executor costs a reread."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)

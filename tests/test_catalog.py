@@ -3,12 +3,12 @@ from collections import Counter
 
 import pytest
 
-from quillspark.plans import catalog, published
+from quillspark.plans import catalog, published, stateful, topics
 
 from .compare import DATA, same
 
 
-QUERIES, ORACLE_SQL = catalog.QUERIES | published.QUERIES, catalog.ORACLE_SQL | published.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | published.QUERIES | topics.QUERIES | stateful.QUERIES, catalog.ORACLE_SQL | published.ORACLE_SQL | topics.ORACLE_SQL | stateful.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
