@@ -6,6 +6,8 @@ genres or its month's notes, however many rows the tables have.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions import nested
 from ..operators import daily, ranking, series
 from ..sources import documents, schemas
 from ..sources.scratch import scratch_path
-from .catalog import _A, _TOPICS, _articles, _topics, table
+from .catalog import _A, _COVERED, _TOPICS, _articles, _covered, _topics, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,3 +136,75 @@ def first_at_stability(spark, sf_dir):
     """The first time of a topic as each run knows it; what comes in late may be older."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.expr("l_orderkey div 1000").alias("run"), F.col("l_shipdate").alias("at"))
     return series.first_at(items, day="run").select("id", "run", F.col("first_at").cast("date").cast("string").alias("first_at"), "stable")
+
+
+#: Rows of a day's digest at most.
+DIGEST = 60
+
+
+@query(f"""WITH {_COVERED}, k AS (SELECT day, genre, count(coverage) AS covered FROM c GROUP BY day, genre),
+s AS (SELECT *, row_number() OVER (PARTITION BY day, genre ORDER BY ts DESC, id) AS place FROM c WHERE coverage IS NULL),
+f AS (SELECT id, day, genre, coverage, ts FROM c WHERE coverage IS NOT NULL UNION ALL SELECT s.id, s.day, s.genre, s.coverage, s.ts FROM s JOIN k USING (day, genre) WHERE place <= 5 - covered),
+d AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY coalesce(coverage, 1) DESC, ts DESC, id) AS place FROM f QUALIFY place <= {DIGEST})
+SELECT day, CAST(place AS INTEGER) AS place, CAST(id AS VARCHAR) AS id, genre AS category, CAST(coverage AS INTEGER) AS coverage, coverage IS NOT NULL AS has_key, CAST(count(*) OVER (PARTITION BY day) AS INTEGER) AS total FROM d""")
+def digest_documents(spark, sf_dir):
+    """Each day's digest as a document, at most DIGEST rows; an article that is alone has no key for its coverage, in the file too."""
+    rows = ranking.digest(_covered(spark, sf_dir), DIGEST)
+    item = F.struct(F.col("id").cast("string").alias("id"), F.col("genre").alias("category"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), F.col("coverage").cast("int").alias("coverage"))
+    listed = F.array_sort(F.collect_list(F.struct("place", item.alias("item"))))
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("total"), F.transform(listed, lambda x: x["item"]).alias("items"))
+    path = scratch_path(spark, "digests")
+    documents.write_named(days.select(F.col("day").alias("file"), F.col("day").alias("date"), "total", "items"), path, "file")
+    read = documents.read_days(spark, path, schemas.DIGEST).select(F.col("date").cast("string").alias("day"), "total", F.posexplode("items").alias("at", "item"))
+    plain = spark.read.text(path, wholetext=True).select(F.from_json("value", "date string, items array<map<string,string>>").alias("d"))
+    keys = plain.select(F.col("d.date").alias("day"), F.posexplode("d.items").alias("at", "m")).select("day", "at", F.map_contains_key("m", "coverage").alias("has_key"))
+    return read.join(keys, ["day", "at"]).select("day", (F.col("at") + 1).alias("place"), "item.id", "item.category", "item.coverage", "has_key", "total")
+
+
+@query(f"""WITH {_TOPICS}, l AS (SELECT day, id, peak, coverage, row_number() OVER (PARTITION BY day ORDER BY peak DESC, coverage DESC, id) AS rank FROM t QUALIFY rank <= {LISTED})
+SELECT substr(day, 1, 7) AS month, day || '-' || id AS id, coverage || ' articles' AS summary, 'peak ' || peak || '|' || 'rank ' || rank AS points, split_part(id, '-', 1) || '|' || split_part(id, '-', 2) AS keywords, day AS background FROM l""")
+def summary_documents(spark, sf_dir):
+    """Summaries of the listed topics with their nested points and keywords, one array a month; a month has at most LISTED for each day."""
+    top = ranking.top(_topics(spark, sf_dir), LISTED)
+    said = lambda word, c: F.concat(F.lit(f"{word} "), F.col(c).cast("string"))
+    summary = F.struct(F.concat_ws("-", "day", "id").alias("id"), F.concat(F.col("coverage").cast("string"), F.lit(" articles")).alias("summary"), F.array(said("peak", "peak"), said("rank", "rank")).alias("points"), F.col("day").alias("background"), F.split("id", "-").alias("keywords"))
+    months = top.select(F.substring("day", 1, 7).alias("month"), summary.alias("s")).groupBy("month").agg(F.array_sort(F.collect_list("s")).alias("summaries"))
+    path = scratch_path(spark, "summaries")
+    documents.write_arrays(months, path, "month", "summaries")
+    read = documents.read_months(spark, path, schemas.SUMMARY)
+    return read.select("month", "id", "summary", F.array_join("points", "|").alias("points"), F.array_join("keywords", "|").alias("keywords"), "background")
+
+
+@query(f"WITH {_A} SELECT day, CAST(count(*) AS INTEGER) AS articles, CAST(count(DISTINCT source) AS INTEGER) AS media, day || '.json' AS file, FALSE AS broken FROM a WHERE day BETWEEN '2024-01-09' AND '2024-01-11' GROUP BY day")
+def day_range(spark, sf_dir):
+    """The documents of three days out of all that there are; no other file is opened."""
+    a = _articles(spark, sf_dir).select("day", "source")
+    path = scratch_path(spark, "day_range")
+    documents.write_named(daily.totals(a).select(F.col("day").alias("file"), F.col("day").alias("date"), "articles", "media"), path, "file")
+    read = documents.read_between(spark, path, "2024-01-09", "2024-01-11")
+    return read.select(F.col("date").cast("string").alias("day"), "articles", "media", "file", F.col("broken").isNotNull().alias("broken"))
+
+
+@query(f"WITH {_A} SELECT day, count(*) AS articles, count(DISTINCT source) AS media, '2024-02-01 00:00:00' AS updated FROM a GROUP BY day")
+def published_version(spark, sf_dir):
+    """Daily totals that two runs publish, the newer one first: the older, which ends later, does not take its place."""
+    a = _articles(spark, sf_dir).select("day", "source", "ts")
+    path = scratch_path(spark, "published")
+    documents.publish_version(daily.totals(a), path, dt.datetime(2024, 2, 1))
+    documents.publish_version(daily.totals(a.where("ts < TIMESTAMP_NTZ '2024-01-20'")), path, dt.datetime(2024, 1, 20))
+    return documents.read_version(spark, path).withColumn("updated", F.col("updated").cast("string"))
+
+
+@query("""WITH old AS (SELECT o_custkey AS id, max(o_orderpriority) AS etag, count(*) AS count, 1 AS run FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+new AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O') AS etag, max(o_orderkey) AS count, 2 AS run FROM orders WHERE o_orderkey % 2 = 1 AND o_orderdate >= TIMESTAMP '1997-06-01' GROUP BY 1)
+SELECT coalesce(new.id, old.id) AS id, coalesce(new.etag, old.etag) AS etag, coalesce(new.count, old.count) AS count, coalesce(new.run, old.run) AS run FROM old FULL JOIN new ON old.id = new.id""")
+def feed_table(spark, sf_dir):
+    """Feed state in a table of buckets: a second run's replies, several of a feed among them, rewrite the buckets that they fall in."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    path = scratch_path(spark, "feed_table")
+    first = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("etag"), F.count(F.lit(1)).alias("count"), F.lit(1).alias("run"))
+    documents.upsert_table(spark, path, first, "id", buckets=64)
+    replies = o.where("o_orderkey % 2 = 1 AND o_orderdate >= TIMESTAMP_NTZ '1997-06-01'")
+    replies = replies.select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("etag"), F.col("o_orderkey").alias("count"), F.lit(2).alias("run"))
+    documents.upsert_table(spark, path, replies, "id", order="count", buckets=64)
+    return spark.read.schema("id long, etag string, count long, run int, bucket int").parquet(path).drop("bucket")

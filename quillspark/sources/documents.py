@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
-from .scratch import file_system
+from .scratch import exists, file_system, written
+
+#: A document that does not parse keeps its text here; its other columns are null.
+BROKEN = "_corrupt_record"
 
 
 def read_days(spark: SparkSession, path: str, schema: str = schemas.TREND) -> DataFrame:
@@ -20,6 +26,26 @@ def read_months(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("month", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1))
 
 
+def files_between(spark: SparkSession, path: str, first: str, last: str) -> list[str]:
+    """Paths of the files <name>.json below path whose names, days or months, lie between two others; from one listing, without opening any."""
+    fs, root = file_system(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(root))
+    return [f"{path}/{n}" for n in names if n.endswith(".json") and first <= n.removesuffix(".json") <= last]
+
+
+def read_between(spark: SparkSession, path: str, first: str, last: str, schema: str = schemas.TREND) -> DataFrame:
+    """The day or month documents of a range, only their files read, with `file` and `broken`.
+
+    A document that is cut off or no JSON is one row: its file's name, and its text in
+    broken; of others broken is null. A range without files gives no rows.
+    """
+    files = files_between(spark, path, first, last)
+    if not files:
+        return spark.createDataFrame([], schema).withColumns({"file": F.lit(None).cast("string"), "broken": F.lit(None).cast("string")})
+    rows = spark.read.schema(f"{schema}, {BROKEN} string").option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).json(files)
+    return rows.withColumn("file", F.col("_metadata.file_name")).withColumnRenamed(BROKEN, "broken")
+
+
 def read_map(spark: SparkSession, path: str, schema: str = schemas.FEED, key: str = "sourceId") -> DataFrame:
     """An object keyed by id as rows with the key as a column."""
     root = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{schema}>>").alias("m"))
@@ -32,8 +58,10 @@ def _name_files(spark: SparkSession, path: str) -> None:
     for status in fs.listStatus(root):
         if status.isDirectory():
             folder = status.getPath()
-            (part,) = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-            fs.rename(part, root.suffix("/" + folder.getName().split("=", 1)[1] + ".json"))
+            parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()]
+            if len(parts) != 1:
+                raise ValueError(f"{folder.getName()} has {len(parts)} documents")
+            fs.rename(parts[0], root.suffix("/" + folder.getName().split("=", 1)[1] + ".json"))
             fs.delete(folder, True)
 
 
@@ -91,6 +119,55 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns])
 
 
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order: str | None = None, buckets: int = 256) -> None:
+    """upsert() into the table below path, which is partitioned by a hash of the key; made where it is not there yet.
+
+    Only buckets that new has keys of are read and written; the files of the others are
+    left as they are. `buckets` is the same in every run.
+    """
+    names = new.columns
+    in_bucket = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    new = written(in_bucket(new), "replies")
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi")
+    else:
+        old = new.limit(0)
+    publish(written(in_bucket(upsert(old.select(*names), new.select(*names), key, order)), "upserted"), path, "bucket")
+
+
+def publish_version(df: DataFrame, path: str, updated: dt.datetime, keep: int = 2) -> str:
+    """Write df as a version of the table below path; readers see it whole or not at all.
+
+    Files go to versions/<name>. One rename then puts manifests/<name> in place, and the
+    greatest name is the current one: names begin with the time of update, so a run with
+    an older one never takes the place of a newer, whichever ends first. A write that
+    fails leaves no manifest. Of older versions all but `keep` in all are removed.
+    """
+    spark = df.sparkSession
+    name = f"{updated:%Y%m%dT%H%M%S.%fZ}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/versions/{name}")
+    fs, started = file_system(spark, f"{path}/manifests/.{name}")
+    fs.create(started).close()
+    if not fs.rename(started, started.getParent().suffix(f"/{name}")):
+        raise OSError(f"the manifest {name} could not be put in place")
+    for old in _manifests(spark, path)[:-keep]:
+        for folder in ("manifests", "versions"):  # first what readers look for
+            fs.delete(file_system(spark, f"{path}/{folder}/{old}")[1], True)
+    return name
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    fs, root = file_system(spark, f"{path}/manifests")
+    return sorted(n for f in (fs.listStatus(root) if fs.exists(root) else []) if not (n := f.getPath().getName()).startswith("."))
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of publish_version(), with its time as `updated`."""
+    name = _manifests(spark, path)[-1]
+    updated = dt.datetime.strptime(name.split("-")[0], "%Y%m%dT%H%M%S.%fZ")
+    return spark.read.parquet(f"{path}/versions/{name}").withColumn("updated", F.lit(updated.isoformat(sep=" ")).cast("timestamp_ntz"))
+
+
 def enqueue(log: DataFrame, request: DataFrame) -> DataFrame:
     """A request log with more requests, newest first."""
     return log.unionByName(request).orderBy(F.desc("requestedAt"), "id")
