@@ -28,18 +28,19 @@ _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 def terms(text: Column) -> Column:
     """Runs of letters A-Z, a-z and characters beyond ASCII, in order; only A-Z are lower-cased."""
     low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(low, _BETWEEN), lambda t: t != "")
+    return F.array_remove(F.split(low, _BETWEEN), "")
 
 
 def counts(rows: DataFrame) -> DataFrame:
     """(lang, source, term, n, documents) of rows (lang, source, text): occurrences, and documents that have the term.
 
-    A document's terms are sorted, so an occurrence that differs from the one before it
-    is the document's first.
+    A document's terms are sorted and zipped with themselves, one place further on, so an
+    occurrence that differs from the one before it is the document's first.
     """
-    marked = F.transform(F.col("t"), lambda w, i: F.struct(w.alias("term"), (i.eqNullSafe(F.lit(0)) | (w != F.get(F.col("t"), i - 1))).alias("first")))
-    found = rows.select("lang", "source", F.sort_array(terms(F.col("text"))).alias("t")).select("lang", "source", F.explode(marked).alias("x"))
-    return found.groupBy("lang", "source", "x.term").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.first").alias("documents"))
+    found = rows.select("lang", "source", F.sort_array(terms(F.col("text"))).alias("t"))
+    before = F.slice(F.concat(F.array(F.lit("")), "t"), F.lit(1), F.size("t"))
+    found = found.select("lang", "source", F.inline(F.arrays_zip(F.col("t").alias("term"), before.alias("before"))))
+    return found.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("term") != F.col("before")).alias("documents"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
