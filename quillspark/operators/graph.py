@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbour of a node is hung on its least neighbour, then every lesser one. Both only
     replace links by shorter ones, so stars are left after some log(n) rounds. Edges are
     written after each step, and the driver sees a count of them and a hash. A node with
-    very many links is aggregated map-side, and its join can be split. Nulls and links of
+    very many links is aggregated map-side; what that gives is written before the join, so
+    that the join can be split. Nulls and links of
     a node with itself are left out.
     """
     pair = links.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("both"))
@@ -27,9 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = _signature(edges)
     while True:
         ways = edges.select(F.explode(F.array(F.struct(F.col("high").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("high").alias("v")))).alias("e")).select("e.*")
-        least = ways.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"))
+        least = written(ways.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low")), "least")
         large = written(ways.where("v > u").join(least, "u").select(F.col("v").alias("high"), "low").distinct(), "edges")
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        least = written(large.groupBy("high").agg(F.min("low").alias("m")), "least")
         small = large.join(least, "high").select(F.explode(F.array("high", "low")).alias("high"), F.col("m").alias("low"))
         edges = written(small.where("high <> low").distinct(), "edges")
         before, now = now, _signature(edges)

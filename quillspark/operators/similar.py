@@ -93,5 +93,5 @@ def similar_topics(rows: DataFrame, percent: int = PERCENT, life: int = LIFE) ->
     linked = similar_cells(written(found, "found"), percent, life)
     member = marked.select("id", "cell").join(linked.withColumnRenamed("node", "cell"), "cell", "left").select("id", F.coalesce("component", "cell").alias("component"))
     member = written(member, "members")
-    topics = member.groupBy("component").agg(F.min("id").alias("topic"), F.count(F.lit(1)).alias("coverage")).where("coverage > 1")
+    topics = written(member.groupBy("component").agg(F.min("id").alias("topic"), F.count(F.lit(1)).alias("coverage")).where("coverage > 1"), "topics")
     return member.join(topics, "component").select("id", "topic", "coverage")
