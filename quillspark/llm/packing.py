@@ -16,6 +16,8 @@ from ._words import split_words
 
 #: Words that one worker remembers in each of two generations.
 REMEMBERED = 800_000
+#: Words that are encoded in one call; more of them take longer for each.
+TOGETHER = 256
 #: A word of its own between the words that are encoded in one call.
 MARK = "\x01"
 #: Pieces that one task packs together.
@@ -60,21 +62,20 @@ class WordIds:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [split_words(t) for t in texts]
-        wanted: set[str] = set()
-        for w in words:
-            wanted.update(w)
-        new = wanted - self.ids.keys()
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self.older = {}, self.ids
-            new = wanted
-        known = new & self.older.keys()
-        self.ids.update((w, self.older[w]) for w in known)
-        new = list(new - known)
-        for k in range(0, len(new), 2_000):
-            some = new[k : k + 2_000]
-            self.ids.update(zip(some, self._encode_words(some), strict=True))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        found = [list(map(self.ids.get, w)) for w in words]
+        new = {x for w, f in zip(words, found, strict=True) if None in f for x, ids in zip(w, f, strict=True) if ids is None}
+        if new:
+            if len(self.ids) + len(new) > REMEMBERED:
+                self.ids, self.older = {}, self.ids
+                new = {x for w in words for x in w}
+            known = new & self.older.keys()
+            self.ids.update((w, self.older[w]) for w in known)
+            new = list(new - known)
+            for k in range(0, len(new), TOGETHER):
+                some = new[k : k + TOGETHER]
+                self.ids.update(zip(some, self._encode_words(some), strict=True))
+            found = [list(map(self.ids.__getitem__, w)) if None in f else f for w, f in zip(words, found, strict=True)]
+        return [b"".join(f) for f in found]
 
 
 def _words(path: str) -> WordIds:
