@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -18,6 +19,8 @@ from ._words import split_words
 REMEMBERED = 800_000
 #: Words that are encoded in one call; more of them take longer for each.
 TOGETHER = 256
+#: Letters, and marks that may follow them: the tokenizer takes the two apart and lower-cases the letters, so forms of a word share what is encoded.
+_LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([#$%&*|!?;:.,]*)")
 #: A word of its own between the words that are encoded in one call.
 MARK = "\x01"
 #: Pieces that one task packs together.
@@ -47,6 +50,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}  # by what the tokenizer encodes at once
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -59,6 +63,30 @@ class WordIds:
         starts, ends = np.append(0, cut + 4).tolist(), np.append(cut, len(raw)).tolist()
         return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of new words into self.ids: from the generation before, of their parts, or from the tokenizer."""
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        ids, older, parts, match = self.ids, self.older, self.parts, _LETTERS_AND_MARKS.fullmatch
+        forms, wanted = [], set()
+        for w in new:
+            if w in older:
+                ids[w] = older[w]
+                continue
+            m = match(w)
+            a, b = (m[1].lower(), m[2]) if m else (w, "")
+            forms.append((w, a, b))
+            if a not in parts:
+                wanted.add(a)
+            if b not in parts:
+                wanted.add(b)
+        missing = list(wanted)
+        for k in range(0, len(missing), TOGETHER):
+            some = missing[k : k + TOGETHER]
+            parts.update(zip(some, self._encode_words(some), strict=True))
+        for w, a, b in forms:
+            ids[w] = parts[a] + parts[b]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [split_words(t) for t in texts]
@@ -68,12 +96,7 @@ class WordIds:
             if len(self.ids) + len(new) > REMEMBERED:
                 self.ids, self.older = {}, self.ids
                 new = {x for w in words for x in w}
-            known = new & self.older.keys()
-            self.ids.update((w, self.older[w]) for w in known)
-            new = list(new - known)
-            for k in range(0, len(new), TOGETHER):
-                some = new[k : k + TOGETHER]
-                self.ids.update(zip(some, self._encode_words(some), strict=True))
+            self._learn(new)
             found = [list(map(self.ids.__getitem__, w)) if None in f else f for w, f in zip(words, found, strict=True)]
         return [b"".join(f) for f in found]
 
