@@ -10,6 +10,7 @@ of the text, gives the score.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
@@ -37,18 +38,30 @@ SEEDS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown
 SEED_WEIGHT = 4.0
 EXCEPTIONS = "clown fish,class clown,circus clown,trash can,trash bin,trash bag,trash collection,sore loser,pond scum,scum line".split(",")
 HOMOGLYPHS = {
-    "a": "аαɑ@4", "b": "ьβ8", "c": "сϲ", "d": "ԁ", "e": "еεё3", "g": "ɡ", "h": "һ", "i": "іιıl1|ӏ", "j": "ј", "k": "кκ",
-    "m": "м", "n": "п", "o": "оοσ0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ$5", "t": "тτ7", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ʐ",
+    "a": "аαɑ@4", "b": "ьβ8ƀ", "c": "сϲ", "d": "ԁđ", "e": "еεё3", "g": "ɡ", "h": "һħ", "i": "іιıɨl1|ӏł", "j": "ј", "k": "кκ",
+    "m": "м", "n": "п", "o": "оοσ0ø", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ$5", "t": "тτ7ŧ", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ʐ",
 }
 INVISIBLE = "­​‌‍⁠﻿"
 
 
+#: Accents, strokes and other marks laid over letters; those of other scripts tell letters apart and stay.
+MARKS = range(0x300, 0x370)
+#: A "!" before one of these may stand for i; at the end of a word it is a stop.
+_SHOUT = re.compile(r"!(?=[^\W_])")
+
+
 class _Fold(dict):
-    """For str.translate: what stands for a letter becomes it; other characters that are not letters, a space."""
+    """For str.translate: what stands for a letter becomes it, with or without a mark; other characters that are not letters, a space."""
 
     def __missing__(self, code: int):
         c = chr(code)
-        out = c if c.isalpha() or unicodedata.combining(c) else " "
+        base = unicodedata.normalize("NFD", c)
+        if code in MARKS:
+            out = None
+        elif len(base) > 1 and all(ord(mark) in MARKS for mark in base[1:]):
+            out = self[ord(base[0])]
+        else:
+            out = c if c.isalpha() or unicodedata.combining(c) else " "
         self[code] = out
         return out
 
@@ -58,11 +71,13 @@ _FOLD.update({ord(c): None for c in INVISIBLE})
 
 
 def fold(text: str | None) -> str:
-    """Folded text between spaces; l and i become the same letter, for 1 stands for both."""
+    """Folded text between spaces; l and i become the same letter, for 1 stands for both, and "!" inside or before a word is i."""
     if not text:
         return " "
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
+    if "!" in text:
+        text = _SHOUT.sub("i", text)
     return f" {text.lower().translate(_FOLD)} "
 
 

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -154,7 +155,7 @@ def test_licenses_odd_rows(spark):
 # toxicity
 
 
-@pytest.mark.parametrize("text", ["You IDIOT", "you 1d10t!", "you idіоt", "you ｉｄｉｏｔ", "id​iot", "l0ser", "$tup1d", "tr4sh"])
+@pytest.mark.parametrize("text", ["You IDIOT", "you 1d10t!", "you idіоt", "you ｉｄｉｏｔ", "id​iot", "l0ser", "$tup1d", "tr4sh", "ídiot", "i\u0301diot", "idi\u0336ot", "İDIOT", "!diot", "stup!d!", "mørøn", "łoser", "trа́sh"])
 def test_folding_undoes_disguise(text):
     machine = toxicity.Model({f"{toxicity.fold(w).rstrip()} ": 4.0 for w in toxicity.SEEDS}).machine()
     assert len(toxicity.matched(machine, toxicity.fold(text))) == 1
@@ -166,6 +167,34 @@ def test_exceptions_and_longer_words_do_not_count(text):
     assert toxicity.matched(model.machine(), toxicity.fold(text)) == []
 
 
+def test_marks_of_other_scripts_and_stops_stay():
+    assert toxicity.fold("か゛が ガ") != toxicity.fold("かか カ") and toxicity.fold("ga!! GA! no.") == " ga   ga  no  "
+
+
+def test_matches_equal_a_naive_search():
+    rng = random.Random(4)
+    for _ in range(400):
+        entries = {" " + "".join(rng.choices("ab", k=rng.randint(1, 3))) + rng.choice([" ", ""]): rng.choice([1.0, 2.0, 3.0]) for _ in range(4)}
+        phrases = [f" {' '.join(''.join(rng.choices('ab', k=rng.randint(1, 2))) for _ in range(2))} " for _ in range(2)]
+        model = toxicity.Model(entries, phrases)
+        text = toxicity.fold(" ".join("".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(12)))
+        spans = [(i, i + len(p) - 1) for p in phrases for i in range(len(text)) if text.startswith(p, i)]
+        want = {}
+        for i in range(len(text)):
+            found = [(w, i + len(e) - 1) for e, w in entries.items() if text.startswith(e, i)]
+            if found:
+                weight = max(w for w, _ in found)
+                want[i] = (weight, {e for w, e in found if w == weight})
+        got = {s: (e, w) for s, e, w in toxicity.matched(model.machine(), text)}
+        for i, (weight, ends) in want.items():
+            outside = {e for e in ends if not any(a <= i and e <= b + 1 for a, b in spans)}
+            if i in got:
+                assert got[i][1] == weight and got[i][0] in ends and got[i][0] in outside
+            else:
+                assert outside != ends
+        assert set(got) <= set(want)
+
+
 def test_longer_clean_text_lowers_the_score():
     machine = toxicity.Model({" idiot ": 4.0}).machine()
     short, long = (toxicity.features(machine, toxicity.fold("you idiot " + "word " * n)) for n in (1, 500))
