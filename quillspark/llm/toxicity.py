@@ -15,6 +15,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
@@ -38,36 +39,41 @@ SEEDS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown
 SEED_WEIGHT = 4.0
 EXCEPTIONS = "clown fish,class clown,circus clown,trash can,trash bin,trash bag,trash collection,sore loser,pond scum,scum line".split(",")
 HOMOGLYPHS = {
-    "a": "аαɑ@4", "b": "ьβ8ƀ", "c": "сϲ", "d": "ԁđ", "e": "еεё3", "g": "ɡ", "h": "һħ", "i": "іιıɨl1|ӏł", "j": "ј", "k": "кκ",
-    "m": "м", "n": "п", "o": "оοσ0ø", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ$5", "t": "тτ7ŧ", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ʐ",
+    "a": "аαɑ@4", "b": "ьβ8", "c": "сϲ", "d": "ԁ", "e": "еεё3", "g": "ɡ", "h": "һ", "i": "іιıl1|ӏ", "j": "ј", "k": "кκ",
+    "m": "м", "n": "п", "o": "оοσ0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ$5", "t": "тτ7", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ʐ",
 }
 INVISIBLE = "­​‌‍⁠﻿"
 
 
-#: Accents, strokes and other marks laid over letters; those of other scripts tell letters apart and stay.
-MARKS = range(0x300, 0x370)
+#: Accents, strokes and other marks laid over letters.
+MARKS = {code: None for code in range(0x300, 0x370)}
+#: Longer runs of letters and marks than this are not looked at: no seed word has as many marks.
+LONGEST_MARKED = 64
+STROKES = str.maketrans("ƀđħɨłøŧ", "bdhilot")
 #: A "!" before one of these may stand for i; at the end of a word it is a stop.
 _SHOUT = re.compile(r"!(?=[^\W_])")
 
 
 class _Fold(dict):
-    """For str.translate: what stands for a letter becomes it, with or without a mark; other characters that are not letters, a space."""
+    """For str.translate: what stands for a letter becomes it; other characters that are not letters, a space."""
 
     def __missing__(self, code: int):
         c = chr(code)
-        base = unicodedata.normalize("NFD", c)
-        if code in MARKS:
-            out = None
-        elif len(base) > 1 and all(ord(mark) in MARKS for mark in base[1:]):
-            out = self[ord(base[0])]
-        else:
-            out = c if c.isalpha() or unicodedata.combining(c) else " "
+        out = c if c.isalpha() or unicodedata.combining(c) else " "
         self[code] = out
         return out
 
 
 _FOLD = _Fold({ord(c): letter for letter, alike in HOMOGLYPHS.items() for c in alike})
 _FOLD.update({ord(c): None for c in INVISIBLE})
+_KNOWN = frozenset(w.translate(_FOLD) for w in SEEDS)
+
+
+@lru_cache(1 << 16)
+def _unmarked(word: str) -> str:
+    """A seed word without the marks that hide it. Other words keep theirs, which tell words of many languages apart."""
+    bare = unicodedata.normalize("NFD", word).translate(MARKS).translate(STROKES).translate(_FOLD)
+    return bare if bare in _KNOWN else word
 
 
 def fold(text: str | None) -> str:
@@ -78,7 +84,10 @@ def fold(text: str | None) -> str:
         text = unicodedata.normalize("NFKC", text)
     if "!" in text:
         text = _SHOUT.sub("i", text)
-    return f" {text.lower().translate(_FOLD)} "
+    text = text.lower().translate(_FOLD)
+    if not text.isascii():
+        text = " ".join(w if w.isascii() or len(w) > LONGEST_MARKED else _unmarked(w) for w in text.split(" "))
+    return f" {text} "
 
 
 @dataclass

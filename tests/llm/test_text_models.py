@@ -155,7 +155,7 @@ def test_licenses_odd_rows(spark):
 # toxicity
 
 
-@pytest.mark.parametrize("text", ["You IDIOT", "you 1d10t!", "you idіоt", "you ｉｄｉｏｔ", "id​iot", "l0ser", "$tup1d", "tr4sh", "ídiot", "i\u0301diot", "idi\u0336ot", "İDIOT", "!diot", "stup!d!", "mørøn", "łoser", "trа́sh"])
+@pytest.mark.parametrize("text", ["You IDIOT", "you 1d10t!", "you idіоt", "you ｉｄｉｏｔ", "id​iot", "l0ser", "$tup1d", "tr4sh", "ídiot", "i\u0301diot", "idi\u0336ot", "İDIOT", "!diot", "stup!d!", "mørøn", "łoser", "tra\u0336sh"])
 def test_folding_undoes_disguise(text):
     machine = toxicity.Model({f"{toxicity.fold(w).rstrip()} ": 4.0 for w in toxicity.SEEDS}).machine()
     assert len(toxicity.matched(machine, toxicity.fold(text))) == 1
@@ -167,8 +167,8 @@ def test_exceptions_and_longer_words_do_not_count(text):
     assert toxicity.matched(model.machine(), toxicity.fold(text)) == []
 
 
-def test_marks_of_other_scripts_and_stops_stay():
-    assert toxicity.fold("か゛が ガ") != toxicity.fold("かか カ") and toxicity.fold("ga!! GA! no.") == " ga   ga  no  "
+def test_marks_of_other_words_and_stops_stay():
+    assert toxicity.fold("が réeux") == " が réeux " and toxicity.fold("ga!! GA! no.") == " ga   ga  no  "
 
 
 def test_matches_equal_a_naive_search():
