@@ -48,7 +48,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_sketches(docs: DataFrame, size: int, parts: int = PARTS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, parts): set_a and set_b name the set; parts holds 2*parts hashes, null for an empty set."""
+    """(doc_id, tag, n_shingles, set_a, set_b, parts): set_a and set_b name the set; parts holds 2*parts hashes, null for an empty set. docs has doc_id, text and tag."""
 
     def run(batches):
         let_go()
@@ -69,9 +69,9 @@ def set_sketches(docs: DataFrame, size: int, parts: int = PARTS, width: int = WI
                             made[:, k] = mix(made[:, k] + np.minimum.reduceat((hashes ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | U(1)), begin))
                 ends = np.concatenate([[0], np.cumsum(n > 0)]) * 2 * parts
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(made.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(name_a.view(np.int64)), pa.array(name_b.view(np.int64)), lists], ["doc_id", "n_shingles", "set_a", "set_b", "parts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(name_a.view(np.int64)), pa.array(name_b.view(np.int64)), lists], ["doc_id", "tag", "n_shingles", "set_a", "set_b", "parts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, parts array<long>")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id long, tag long, n_shingles long, set_a long, set_b long, parts array<long>")
 
 
 def table_members(sets: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -231,6 +231,16 @@ def link_sets(members: DataFrame, texts: DataFrame, size: int, percent: int = PE
     return _merged(components, materialize(verified(pairs, texts, size, percent), "verified"))
 
 
+def _with_shared_ids(components: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Components (rep, component) after sets of one id are linked; grouped has doc_id and rep of every row."""
+    ends = grouped.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    edges = grouped.select("doc_id", F.col("rep").alias("b")).join(materialize(ends, "several"), "doc_id").where("a <> b").select("a", "b")
+    edges = materialize(edges.distinct(), "same_id")
+    nodes = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
+    apart = nodes.join(components, "rep", "left_anti").select("rep", F.col("rep").alias("component"))
+    return _merged(materialize(components.unionByName(apart), "components"), edges)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, parts: int = PARTS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs.
 
@@ -239,20 +249,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, part
     with 100 * intersection >= percent * union are linked; component_id is the
     smallest id reachable. kept marks it. Equal sets are grouped first and enter
     once. Null or empty texts and texts of white space have no set, are linked
-    with nothing and kept. A row without id has no component and is kept. Rows
-    that share an id share its component. An empty table gives an empty table.
+    with nothing and kept. A row without id has no component and is kept. The texts
+    of rows that share an id are all linked, and those rows share a component. An
+    empty table gives an empty table.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
     sketches = materialize(set_sketches(rows, size, parts, width), "sketches")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     name = ["n_shingles", "set_a", "set_b"]
-    reps = materialize(usable.groupBy(*name).agg(F.min("doc_id").alias("rep")), "reps")
-    grouped = materialize(usable.join(reps, name).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("parts")).alias("parts")), "grouped")
+    # an id may have several sets, so sets have numbers of their own
+    reps = materialize(usable.groupBy(*name).agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    stands = F.col("doc_id") == F.col("least")
+    grouped = materialize(usable.join(reps, name).select("doc_id", "n_shingles", "rep", "least", F.when(stands, F.col("tag")).alias("tag"), F.when(stands, F.col("parts")).alias("parts")), "grouped")
     members = table_members(grouped.where("parts IS NOT NULL").select("rep", "parts"), parts)
-    wanted = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = materialize(rows.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    components = link_sets(members, texts, size, percent)
-    linked = grouped.select("doc_id", "n_shingles", "rep").join(components, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    wanted = members.select("rep").distinct().join(grouped.where("tag IS NOT NULL").select("rep", "doc_id", "tag"), "rep").distinct()
+    wanted = materialize(wanted, "wanted")
+    texts = materialize(rows.join(wanted, ["doc_id", "tag"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    components = _with_shared_ids(link_sets(members, texts, size, percent), grouped)
+    least = components.join(reps.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(components.join(materialize(least, "least_ids"), "component").select("rep", "component_id"), "named")
+    linked = grouped.select("doc_id", "n_shingles", "rep", "least").join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
     alone = sketches.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

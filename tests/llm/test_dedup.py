@@ -9,7 +9,7 @@ from quillspark.llm import exact_dedup, minhash_dedup, substring_dedup
 from quillspark.llm.components import connected_components
 from tests.compare import DATA, same
 
-from .cases import by_id, components, frame, near_components, odd_rows, without_repeats, words
+from .cases import by_id, components, frame, near_components, odd_rows, shingles, without_repeats, words
 
 
 # exact
@@ -80,6 +80,20 @@ def test_near_matches_all_pairs(spark, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == {i: (len(sets[i]), c, c == i) for i, c in want.items()}
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_texts_of_one_id_are_all_linked(spark, turned):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(12)]
+    near = lambda t: t.rsplit(" ", 2)[0] + " other end"
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1].replace(" ", "\n")), (9, near(texts[0])), (7, near(texts[1])), (7, None), (6, texts[2]), (6, texts[2])]
+    rows += [(20, texts[3]), (21, near(texts[3])), (21, texts[4]), (3, near(texts[4])), (30, texts[5]), (30, texts[6]), (None, texts[5]), (None, texts[0])]
+    got = by_id(minhash_dedup.near_duplicates(frame(spark, rows[::-1] if turned else rows), size=2))
+    component = {5: 5, 9: 5, 7: 5, 6: 6, 20: 3, 21: 3, 3: 3, 30: 30}
+    # a row without words is linked with nothing, whatever its id
+    want = [(i, len(shingles(t, 2)), component[i] if i is not None and t else i, i is None or t is None or component[i] == i) for i, t in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_near_odd_rows(spark):
     rows = odd_rows()
     got = by_id(minhash_dedup.near_duplicates(frame(spark, rows), size=2))
