@@ -7,6 +7,7 @@ likely sequence of content and other blocks.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,10 +26,14 @@ TRAIN_PAGES, PASSES = 800, 200
 #: A feature of blocks on fewer training pages is left out, so that beginnings of names count for rare names.
 LEAST_PAGES = 12
 OTHER, CONTENT = 0, 1
+#: Characters of scripts that are written without spaces: Thai to Khmer, kana, Han and their full-width signs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef]")
+#: Characters that end a sentence, or a text that is a sentence in quotes or brackets.
+_STOPS = ".!?:;…\"”»)。．！？：」』）।؟"
 
 
 def path_features(path: tuple) -> list[str]:
-    """Tags of all ancestors, the innermost one, those below an article, and names with their beginnings and tags."""
+    """Tags of all ancestors, the innermost one, those below an article, names with their beginnings and tags, and the nearest names."""
     out = {f"tag={path[-1][0]}" if path else "tag="}
     inside = False
     for tag, names in path:
@@ -38,17 +43,20 @@ def path_features(path: tuple) -> list[str]:
         elif inside:
             out.add(f"below={tag}")
         out.update(f"name={n}" for n in names)
-        out.update(f"name~{n[:4]}" for n in names)
+        out.update(f"name~{n[:5]}" for n in names)
         out.update(f"{tag}.{n}" for n in names)
+    out.update(f"near={n[:5]}" for n in next((names for _, names in reversed(path) if names), ()))
     return sorted(out)
 
 
 def text_features(text: str, linked: int) -> list[str]:
-    words = text.count(" ") + 1
+    """How long a block is in words (two characters are one where no spaces are written), how much of it is links, how it begins and ends."""
+    unspaced = 0 if text.isascii() else len(text) - len(_UNSPACED.sub("", text))
+    words = text.count(" ") + 1 + unspaced // 2
     out = [f"words={min(7, words.bit_length())}", f"links={min(4, 4 * linked // max(1, len(text)))}"]
-    if text[-1] in ".!?:;\"”»)":
+    if text[-1] in _STOPS:
         out.append("stop")
-    if text[0].isupper():
+    if text[0].isalpha() and text[0] == text[0].upper():  # letters without case too
         out.append("upper")
     if "©" in text or "·" in text or "|" in text:
         out.append("sign")

@@ -8,6 +8,10 @@ import random
 from .html_blocks import leaf_blocks
 
 _SYLLABLES = "ra ne to li ka mu se vo pi du an er or est ing que lo den bra shi tan mer ou ch ä é ción ß zu ha".split()
+#: Scripts of pages other than Latin ones: first and last letter, and whether words are set apart by spaces.
+SCRIPTS = [("а", "я", True), ("α", "ω", True), ("ا", "ي", True), ("가", "깋", True), ("あ", "ん", False), ("一", "龥", False), ("ก", "ฮ", False)]
+#: How often a page is of one of SCRIPTS.
+OTHER_SCRIPTS = 0.25
 # Names that pages give their parts.
 MENU = "nav menu navbar navigation topbar breadcrumb breadcrumbs toc pagination pager tabs".split()
 SIDE = "sidebar side rail related widget trending popular recommended recommendations more".split()
@@ -20,7 +24,7 @@ FOOT = "footer foot copyright legal bottom colophon".split()
 HEAD = "header masthead branding top logo site".split()
 ENDS = ["", "", "", "-box", "-inner", "-wrap", "-1", "_main", "list", "nav", "item", "area", "zone", "holder", "section", "block"]
 NEUTRAL = "wrapper container inner row col columns grid block section box module left right".split()
-BODY = "article post entry content story body text main page".split()
+BODY = "article post entry content story body text main page news blog detail single".split()
 LINE = "byline author meta date dateline lead intro summary standfirst caption".split()
 
 
@@ -29,17 +33,26 @@ class _Maker:
         self.rng = rng
         self.parts: list[str] = []
         self.marks: list[str] = []  # the texts of content blocks, as leaf_blocks gives them
+        self.letters, self.spaced = _SYLLABLES, True
+        if rng.random() < OTHER_SCRIPTS:
+            first, last, self.spaced = rng.choice(SCRIPTS)
+            self.letters = [chr(c) for c in range(ord(first), ord(last) + 1)]
 
     def words(self, low: int, high: int) -> str:
+        """Made-up words; a script without spaces has signs between some of them instead."""
         r = self.rng
-        out = ["".join(r.choices(_SYLLABLES, k=r.choice([1, 1, 2, 2, 3, 4]))) for _ in range(r.randint(low, high))]
-        return " ".join(out)
+        out = ["".join(r.choices(self.letters, k=r.choice([1, 1, 2, 2, 3, 4]))) for _ in range(r.randint(low, high))]
+        return " ".join(out) if self.spaced else "".join(w + "、" if r.random() < 0.1 else w for w in out[:-1]) + out[-1]
 
     def sentence(self, low: int = 4, high: int = 18) -> str:
-        return self.words(low, high).capitalize() + self.rng.choice([".", ".", ".", ".", "!", "?"])
+        return self.words(low, high).capitalize() + self.rng.choice([".", ".", ".", ".", "!", "?"] if self.spaced else ["。", "。", "。", "！", "？"])
 
     def paragraph(self) -> str:
-        return " ".join(self.sentence() for _ in range(self.rng.choice([1, 1, 2, 3, 5, 8, 13])))
+        """Sentences, or now and then a few words alone."""
+        r = self.rng
+        if r.random() < 0.06:
+            return self.sentence(1, 4)
+        return (" " if self.spaced else "").join(self.sentence() for _ in range(r.choice([1, 1, 2, 3, 5, 8, 13])))
 
     def attributes(self, names: list[str]) -> str:
         r, name = self.rng, self.rng.choice(names)
@@ -79,6 +92,8 @@ class _Maker:
 
     def box(self, names: list[str], tags: list[str], inner: str) -> None:
         tag = self.rng.choice(tags)
+        if inner.count("<a ") > 1 and self.rng.random() < 0.25:  # links tell by themselves, so names may be of any kind
+            names = [self.words(1, 1)]
         # a plain element must say by its name what it is
         at = self.attributes(names) if tag not in ("div", "section", "p") else f' {self.rng.choice(["class", "class", "id"])}="{self.rng.choice(names)}{self.rng.choice(ENDS)}"'
         self.add(f"<{tag}{at}>{inner}</{tag}>")
@@ -88,7 +103,7 @@ class _Maker:
         inner = f"<h3>{self.words(1, 3)}</h3>"
         for _ in range(r.randint(1, 4)):
             who = r.choice(["", f"<span class='author'>{self.words(1, 2)}</span>", f"<h4>{self.words(1, 2)}</h4>"])
-            inner += r.choice([f"<div class='comment'>{who}<p>{self.paragraph()}</p></div>", f"<li>{who}<p>{self.paragraph()}</p></li>", f"<p>{self.paragraph()}</p>"])
+            inner += r.choice([f"<div class='comment'>{who}<p>{self.paragraph()}</p></div>", f"<li>{who}<p>{self.paragraph()}</p></li>", f"<p>{self.paragraph()}</p>", f"<li><article class='comment-body'>{who}<p>{self.paragraph()}</p></article></li>"])
         self.box(COMMENT, ["div", "section", "div", "aside"], inner)
 
     def advert(self) -> None:
@@ -121,6 +136,12 @@ class _Maker:
     def side(self) -> None:
         self.box(SIDE, ["aside", "aside", "div", "section"], self.rng.choice([f"<h3>{self.words(1, 3)}</h3>{self.links()}", f"<p>{self.paragraph()}</p>", f"<h4>{self.sentence()}</h4><p>{self.sentence()}</p>"]))
 
+    def plain(self) -> None:
+        """Text that stands in no paragraph, its lines ended by br: one block."""
+        lines = [self.sentence() for _ in range(self.rng.randint(1, 6))]
+        self.add(f"<div{self.any_name()}>" + self.rng.choice(["<br>", "<br><br>\n", "<br/>"]).join(lines) + "</div>")
+        self.marks.append(" ".join(lines))
+
     def article(self) -> None:
         r = self.rng
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section", ""])
@@ -144,35 +165,42 @@ class _Maker:
         inside = r.random() < 0.3
         if inside:
             self.add(f'<div class="{r.choice(NEUTRAL + BODY)}">' if r.random() < 0.8 else "<div>")
-        for _ in range(r.choice([1, 2, 3, 4, 6, 9])):
+        plain = r.random() < 0.06
+        if plain:
+            self.plain()
+        many = 0 if plain else r.choice([1, 2, 3, 4, 6, 9])
+        broken = r.randrange(many) if many and r.random() < 0.3 else -1  # where a box stands for sure
+        for i in range(many):
+            if i == broken:
+                r.choice([self.sign_up, self.sign_up, self.advert])()
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.62:
                 self.content("p", self.paragraph())
-            elif kind < 0.8:
+            elif kind < 0.7:
                 self.content(r.choice(["h2", "h3", "h4"]), self.words(1, 6).capitalize())
-            elif kind < 0.86:
+            elif kind < 0.76:
                 listed = r.choice(["ul", "ol"])
                 self.add(f"<{listed}>")
                 for _ in range(r.randint(1, 4)):
                     self.content("li", self.sentence(1, 10))
                 self.add(f"</{listed}>")
-            elif kind < 0.9:
+            elif kind < 0.8:
                 self.add("<blockquote>")
                 self.content("p", self.paragraph())
                 self.add("</blockquote>")
-            elif kind < 0.92:
+            elif kind < 0.82:
                 self.add("<table><tr>")
                 self.content("td", self.words(1, 4))
                 self.content("td", self.words(1, 4))
                 self.add("</tr></table>")
-            elif kind < 0.935:
+            elif kind < 0.835:
                 self.add("<figure><img src='x.png'>")
                 self.content("figcaption", self.sentence())
                 self.add("</figure>")
-            elif kind < 0.945:
+            elif kind < 0.845:
                 self.content("pre", self.words(2, 12))
             else:
-                r.choice([self.advert, self.side, self.form, self.sign_up, self.sign_up, self.notice, self.comments])()
+                r.choice([self.advert, self.advert, self.side, self.form, self.sign_up, self.sign_up, self.notice, self.comments])()
         if inside:
             self.add("</div>")
         if r.random() < 0.25:
@@ -183,8 +211,14 @@ class _Maker:
     def page(self) -> tuple[str, list[int]]:
         r = self.rng
         self.add(f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body{r.choice(['', self.attributes(BODY)])}>")
-        if r.random() < 0.06:  # an article and nothing else
-            self.article()
+        if r.random() < 0.15:  # an article and nothing else
+            if r.random() < 0.25:  # of a few words
+                tag = r.choice(["article", "main", "div"])
+                self.add(f"<{tag}{self.any_name()}>")
+                self.content("p", self.sentence(1, 5))
+                self.add(f"</{tag}>")
+            else:
+                self.article()
             return self.finished()
         if r.random() < 0.35:
             self.notice()
@@ -196,9 +230,9 @@ class _Maker:
             self.advert()
         if r.random() < 0.25:
             self.form()
-        outer = r.random() < 0.3
+        outer = r.random() < 0.4
         if outer:
-            self.add(r.choice(["<div class='wrapper'>", "<div id='page'>", "<div class='container'><div class='row'>", "<main>"]))
+            self.add(r.choice(["<div class='wrapper'>", "<div id='page'>", "<div class='container'><div class='row'>", "<main>", "<main id='main'>"]))
         if r.random() < 0.3:
             self.side()
         if r.random() < 0.96:

@@ -9,6 +9,7 @@ from quillspark.llm.html_blocks import leaf_blocks
 from quillspark.llm.html_pages import labelled_pages
 from tests.compare import DATA, same
 
+from . import site_styles
 from .cases import by_id, frame, odd_rows
 
 # licences
@@ -291,6 +292,35 @@ def test_main_text_of_pages_by_hand():
         assert html_extraction.main_text(page, chain) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div id='content'><h1>潮の話</h1><p>港では毎日その時刻を記している。</p><p>夏の夜には、潮の音がよく聞こえる。</p></div>", "潮の話\n港では毎日その時刻を記している。\n夏の夜には、潮の音がよく聞こえる。"),
+        ("<div class='article__text'>First part of the story.<br>Second line.</div>", "First part of the story. Second line."),
+        ("<article><p>Yes.</p></article>", "Yes."),
+        ("<div class=post-body><p>AA</p><div class='ad-slot'>Buy our boats today!</div><p>AA</p></div>", "AA\nAA"),
+        ("<article><h1>Boats</h1><p>AA</p><div class='newsletter'><p>Sign up for our letter.</p></div><p>AA</p></article>", "Boats\nAA\nAA"),
+        ("<div class='top-menu'><a href='/'>Главная</a> | <a href='/n'>Новости</a></div><div class='news-text'><h1>Порт</h1><p>Работы в порту займут больше времени.</p><p>Мэр обещал помощь.</p></div><div class='footer'>Все права защищены.</div>", "Порт\nРаботы в порту займут больше времени.\nМэр обещал помощь."),
+    ],
+)
+def test_main_text_of_other_scripts_short_and_broken_articles(page, want):
+    long = " ".join(["The harbour master said that repairs would take longer than planned."] * 6)
+    assert html_extraction.main_text(page.replace("AA", long), html_extraction.default_chain()) == want.replace("AA", long)
+
+
+def test_blocks_of_site_styles_not_trained_on():
+    chain, wrong, total, whole = html_extraction.default_chain(), 0, 0, 0
+    for name in site_styles.names():
+        page, want = site_styles.page(name)
+        blocks, said = leaf_blocks(page), set(want.split("\n"))
+        got = chain.decode([chain.emission(p, t, n) for t, p, n, _ in blocks])
+        wrong += sum((b[0] in said) != label for b, label in zip(blocks, got, strict=True))
+        total += len(blocks)
+        whole += html_extraction.main_text(page, chain) == want
+    assert total == 77 and wrong <= 3
+    assert whole >= 7
+
+
 def test_embedded_and_unclosed_elements_keep_their_text():
     said = lambda page: [b[0] for b in leaf_blocks(page)]
     for tag in ("math", "object", "audio", "video", "canvas", "svg", "iframe", "noscript"):
