@@ -84,6 +84,15 @@ WHOLE_SENTENCES = {
     "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
     "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "apache2-title": ["Apache License Version 2.0, January 2004"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "epl2-notice": [f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {v} which {verb} available at {at}://www.eclipse.org/legal/epl-2.0/" for v in ("2.0", "v2.0") for verb in ("is", "accompanies this distribution, and is") for at in ("http", "https")],
     "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
 }
 WHOLE_RULES = [
@@ -101,6 +110,15 @@ WHOLE_RULES = [
     ("BSL-1.0", ["boost-grant"]),
     ("Unlicense", ["unlicense", "unlicense-anyone"]),
     ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("EPL-2.0", ["epl2-notice"]),
 ]
 
 
@@ -143,6 +161,8 @@ HOLDERS = [
     ("this software is provided by", "as is and any express or implied warranties", "the copyright holders and contributors"),
 ]
 HOLDER_WORDS = 40
+#: A tag of markup, in lower case.
+_TAG = "</?[a-z][a-z0-9]{0,9}(?:[ \t\n][^<>]{0,300})?/?>"
 
 
 def found_sentences(text: Column, known: dict[str, str]) -> Column:
@@ -150,10 +170,11 @@ def found_sentences(text: Column, known: dict[str, str]) -> Column:
 
     A sentence ends at . ! or ? before white space or a line's end, and at a line
     without words; a known one also where any line ends, so that lines of their
-    own are found, and hard-wrapped sentences over several lines.
+    own are found, and hard-wrapped sentences over several lines. A tag of markup
+    ends a line.
     """
     table_ = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    plain = F.regexp_replace(_lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    plain = F.regexp_replace(_lower(F.coalesce(text, F.lit(""))), rf"\r\n?|{_TAG}", "\n")
     # P and L, which lower case has left free: the end of a sentence, and of a line within one
     plain = F.regexp_replace(plain, r"[.!?][ \t]+|[.!?][ \t]*\n|\n[^a-z0-9]*\n", " P ")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\n", " L "), "[^a-z0-9PL]+", " ")
@@ -206,13 +227,14 @@ def op1_license_scan(spark, sf_dir):
 
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in sentence_table().items())
-    rules = " UNION ALL ".join(f"SELECT doc_id, {quote(name)} AS license FROM g WHERE regexp_matches('>' || ids || '>', {quote('>' + '>(?:.*>)?'.join(rule) + '>')})" for name, rule in RULES)
+    known = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in sentence_table(KNOWN).items())
+    in_order = lambda rule: ">" + "".join(f"{name[1:]}>" if name[0] == "+" else f"(?:.*>)?{name}>" for name in rule)
+    rules = " UNION ALL ".join(f"SELECT doc_id, {quote(name)} AS license FROM g WHERE regexp_matches('>' || ids || '>', {quote(in_order(rule))})" for name, rule in RULES + WHOLE_RULES)
     return rf"""
 WITH known(sentence, name) AS (VALUES {known}),
 s AS (
   SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS place
-  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+') AS parts FROM documents)),
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '(?i){_TAG}', chr(10), 'g'), '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+') AS parts FROM documents)),
 f AS (
   SELECT doc_id, place, name
   FROM s JOIN known ON known.sentence = trim(regexp_replace(translate(raw, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))),

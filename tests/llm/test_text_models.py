@@ -139,6 +139,28 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
 ]
 
 
+TITLES = [
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"),
+    ("GPL-2.0", "\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nCopyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0"),
+    ("MIT", "<div class='foot'><p>Released under the MIT License.</p></div>"),
+    ("CC-BY-4.0", "<P>This work is licensed under the Creative Commons\nAttribution 4.0 International License.<br/>More text"),
+    ("", "We follow the GNU General Public License version 3 of 29 June 2007 and the Apache License in version 2.0, January 2004 or later."),
+    ("", "<p Released under the MIT License. " + "<" * 5_000 + "a" * 100_000),
+]
+
+
+def test_titles_of_whole_licenses_and_notices_in_markup(spark):
+    got = licenses.scan(frame(spark, list(enumerate(text for _, text in TITLES))))
+    assert [r.licenses for r in sorted(got.collect())] == [name for name, _ in TITLES]
+
+
 def test_more_license_headers_as_comments(spark):
     rows, want = [], []
     for name, text in WHOLE:
