@@ -80,13 +80,12 @@ def note_documents(spark, sf_dir):
         F.concat(F.count(F.lit(1)).cast("string"), F.lit(" articles")).alias("background"),
     )
     note = F.struct("topic", "items", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("firstAt"), "common", "background")
-    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct("at", F.struct(note.alias("note")).alias("n")))))
-    months = notes.groupBy("month").agg(newest_first.alias("ordered")).select("month", F.transform("ordered", lambda x: x["n"]["note"]).alias("notes"))
+    newest_first = Window.partitionBy("month").orderBy(F.desc("at"), F.asc_nulls_last("topic"))  # a row for each topic
+    listed = F.array_sort(F.collect_list(F.struct("place", note.alias("note"))))
+    months = notes.withColumn("place", F.row_number().over(newest_first)).groupBy("month").agg(F.transform(listed, lambda x: x["note"]).alias("notes"))
     path = scratch_path(spark, "notes")
     documents.write_arrays(months, path, "month", "notes")
-    read = documents.read_months(spark, path, schemas.NOTE)
-    by_month = Window.partitionBy("month").orderBy(F.desc("firstAt"), "topic")
-    placed = read.withColumn("place", F.row_number().over(by_month))
+    placed = documents.read_listed(spark, path, schemas.NOTE)
     claims = placed.select("month", "topic", "place", F.date_format("firstAt", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "background", F.explode("common").alias("c"))
     return claims.select("month", "topic", "place", "first_at", F.col("c.text").alias("claim"), F.explode("c.sources").alias("source"), "background")
 

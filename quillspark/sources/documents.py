@@ -26,6 +26,12 @@ def read_months(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("month", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1))
 
 
+def read_listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_months() with place, from 1 on in each file's array: times in a file are whole seconds, so only its order tells what is newer."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1).alias("month"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    return files.select("month", F.posexplode("rows").alias("at", "row")).select("row.*", "month", (F.col("at") + 1).alias("place"))
+
+
 def files_between(spark: SparkSession, path: str, first: str, last: str) -> list[str]:
     """Paths of the files <name>.json below path whose names, days or months, lie between two others; from one listing, without opening any."""
     fs, root = file_system(spark, path)

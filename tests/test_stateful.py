@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph, places, rolling, series, similar
+from quillspark.plans import published
 from quillspark.sources import documents, schemas
 from quillspark.streaming import feeds, refresh
 
@@ -330,3 +331,11 @@ def test_documents_in_their_published_form(spark, tmp_path):
     popular = put("popular.json", {"updatedAt": "2026-11-01T00:00:00Z", "day": [{"id": "x", "n": 3}], "week": [{"id": "x", "n": 4}, {"id": "y", "n": 1}]})
     counts = documents.popularity(spark.read.schema(schemas.POPULAR).option("multiLine", True).json(popular))
     assert Counter(r.window for r in counts.collect()) == {"day": 1, "week": 2}
+
+
+def test_notes_of_one_second_keep_their_order(spark, tmp_path):
+    at = lambda us: dt.datetime(2024, 1, 1, 0, 0, 5, us)
+    rows = [(1, at(10), "late"), (2, at(30), "even"), (3, at(30), "also"), (4, at(20), "zero"), (5, dt.datetime(2024, 1, 9), "zero")]
+    spark.createDataFrame([(i, t, i, k) for i, t, k in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = published.QUERIES["note_documents"](spark, str(tmp_path)).select("month", "topic", "place").distinct()
+    assert rows_of(got) == [("2024-01", "also", 1), ("2024-01", "even", 2), ("2024-01", "late", 4), ("2024-01", "zero", 3)]
