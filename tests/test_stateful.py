@@ -339,3 +339,25 @@ def test_notes_of_one_second_keep_their_order(spark, tmp_path):
     spark.createDataFrame([(i, t, i, k) for i, t, k in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = published.QUERIES["note_documents"](spark, str(tmp_path)).select("month", "topic", "place").distinct()
     assert rows_of(got) == [("2024-01", "also", 1), ("2024-01", "even", 2), ("2024-01", "late", 4), ("2024-01", "zero", 3)]
+
+
+def test_a_batch_of_many_feeds_makes_no_call_for_each(spark, tmp_path):
+    rng, start = random.Random(10), dt.datetime(2024, 1, 1)
+    rows = sorted((start + dt.timedelta(minutes=rng.randrange(9000)), i, rng.randrange(400), rng.random() < 0.6, rng.choice([None, f"e{i}"])) for i in range(6000))
+    rows.insert(4000, (start, 9999, 5, True, "late"))  # beyond the watermark of the batches before
+    source, path, schema = str(tmp_path / "in"), str(tmp_path / "out"), "at timestamp_ntz, seq long, id long, failed boolean, error string"
+    seen = []
+    for a, b in ((0, 2500), (2500, 4000), (4000, 6001)):
+        spark.createDataFrame(rows[a:b], schema).write.mode("append").parquet(source)
+        query = feeds.keep_states(spark.readStream.schema(schema).parquet(source), path)
+        query.awaitTermination()
+        seen += [p.stateOperators for p in query.recentProgress]
+    assert seen and not any(seen)  # no state store, so no call for a feed
+    us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    high, want = us(rows[-1][0]), []
+    for i in sorted({r[2] for r in rows}):
+        mine = [r for r in rows if r[2] == i and r[1] != 9999]
+        state = feeds.after_checks((0, 0, 0, None, None, None, None), np.array([us(r[0]) for r in mine]), np.array([r[3] for r in mine]), [r[4] for r in mine])
+        want.append((i, *state, state[5] // 1000 + feeds.SILENT_SECONDS * 1000 < (high - 3600 * 10**6) // 1000))
+    assert rows_of(feeds.latest_states(spark, path)) == sorted(want, key=repr)
+    assert {w[-1] for w in want} == {True, False}
