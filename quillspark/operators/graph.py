@@ -37,3 +37,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             roots = edges.select("low").distinct()
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(roots.select(F.col("low").alias("node"), F.col("low").alias("component")))
+
+
+def joined_components(known: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """components() of more links beside those whose components are known (node, component).
+
+    Only links between different components go through rounds, each component as one
+    node, so a long chain that is known is not walked again.
+    """
+    names = known.withColumnRenamed("component", "name")
+    both = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    for end in ("a", "b"):
+        found = both.join(names.withColumnRenamed("node", end), end, "left")
+        both = found.withColumn(f"{end}_name", F.coalesce("name", end)).drop("name")
+    both = written(both, "named_links")
+    merged = written(components(both.select("a_name", "b_name"), "a_name", "b_name"), "merged")
+    fresh = both.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti").withColumn("component", F.col("node"))
+    nodes = known.select("node", "component").unionByName(fresh)
+    joined = nodes.join(merged.withColumnRenamed("component", "least").withColumnRenamed("node", "component"), "component", "left")
+    return joined.select("node", F.coalesce("least", "component").alias("component"))

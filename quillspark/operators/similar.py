@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .graph import components
+from .graph import components, joined_components
 
 #: Titles are linked with so many hundredths of their words in common, and within so many seconds: a topic's life.
 PERCENT, LIFE = 60, 72 * 3600
@@ -77,7 +77,7 @@ def similar_cells(found: DataFrame, percent: int = PERCENT, life: int = LIFE) ->
     said = written(label(said), "labelled")
     apart = said.join(other(said, F.col("component").alias("b_component")), ["block", "word"]).where(f"component <> b_component AND {near} AND {fits}")
     pairs = written(apart.select(F.col("cell").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(_alike(pairs, sets, percent)))
+    return joined_components(known, written(_alike(pairs, sets, percent), "more_links"))
 
 
 def similar_topics(rows: DataFrame, percent: int = PERCENT, life: int = LIFE) -> DataFrame:

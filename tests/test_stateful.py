@@ -83,6 +83,22 @@ def test_components(spark, kind):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_joined_components_walk_no_known_chain_again(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(400)]
+    more = [(rng.randrange(600), rng.randrange(600)) for _ in range(60)] + [(7, 7), (None, 3), (900, 900)]
+    known = graph.components(spark.createDataFrame(chain, "a long, b long")).persist()
+    assert known.count() == 401
+    writes, before = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: writes.append(before(df, name)) or writes[-1])
+    got = graph.joined_components(known, spark.createDataFrame(more, "a long, b long"))
+    assert rows_of(got) == sorted(_components(chain + more), key=repr)
+    assert max(w.count() for w in writes) < 400  # links of the chain are in none
+    writes.clear()
+    assert rows_of(graph.joined_components(known, spark.createDataFrame(chain, "a long, b long"))) == rows_of(known)
+    known.unpersist()
+
+
 # similar titles
 
 
