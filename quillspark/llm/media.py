@@ -222,9 +222,10 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     root = root or scratch_path(docs.sparkSession, "payloads")
     rows = store(docs, root, id_col, text_col)
     places = materialize(with_headers(addresses(rows), root), "places")
-    read = materialize(with_features(in_parts(places), root), "features")
+    read = materialize(with_features(in_parts(places), root).drop("media_sha256"), "features")  # was checked to be the digest
     found = materialize(places.select("digest", "shard", "offset", "length", "width", "height").join(read, "digest"), "media_index")
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    found = rows.select("doc_id", "n_bytes", "digest").join(found, "digest").withColumnRenamed("digest", "media_sha256")
+    return found.select("doc_id", "n_bytes", "shard", "offset", "length", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op7_media_columns(spark, sf_dir):

@@ -207,3 +207,12 @@ def test_warc_repeated_rows_have_ids_of_their_own(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = warc.derivatives(warc.responses(pages)).collect()
     assert len(got) == 16 and len({r.record_id for r in got}) == 16 and len({r.refers_to for r in got}) == 8
+
+
+def test_a_digest_is_written_once_for_each_image(spark, monkeypatch):
+    written, before = {}, media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, name: written.setdefault(name, before(df, name)))
+    got = media.media_columns(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id long, text string"))
+    assert got.columns[-2:] == ["media_sha256", "feature"] and len({r.media_sha256 for r in got.collect()}) == 3
+    assert [r.media_sha256 for r in got.orderBy("doc_id").collect()] == [hashlib.sha256(media.png(media.payload_of(t))).hexdigest() for t in ("a", "b", "a", None)]
+    assert not any("media_sha256" in df.columns for df in written.values())
