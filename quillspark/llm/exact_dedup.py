@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialize, table
+from ._common import cannot_match, keyed, materialize, may_match, table
 
 #: Deleted before texts are compared: space and 0x09-0x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -98,8 +98,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is empty; an empty table gives an empty table.
 
     Frequent digests are decided map-side by their broadcast winners. Of the rest,
-    the rows that go are found by digest alone and taken out by an anti join, so
-    whole texts are shuffled only where those are too many to broadcast.
+    the rows that go are found by digest alone and taken out by an anti join. Rows that
+    share id and length with none of them are told by a bitmap and stay where they are,
+    so whole texts are shuffled only of rows that go and of a few others.
     """
     names = docs.columns
     rows = materialize(digests(docs, id_col, text_col), "digests")
@@ -114,11 +115,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ties = materialize(stays.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*where).withColumnsRenamed(where), "ties")
 
     digest, length = _digest(F.col(f"`{text_col}`"))
-    marked = docs.withColumns({"_sha": digest, "_length": length, "_id": F.col(f"`{id_col}`").cast("long")})
     at = lambda a, b: (a["_sha"] == b["_sha"]) & (a["_length"] == b["_length"]) & a["_id"].eqNullSafe(b["_id"])
     won = winners.select(F.col("text_sha256").alias("_hot"), F.col("most").alias("_most"), F.col("keep_id").alias("_keep"))
-    kept = marked.join(F.broadcast(won), marked["_sha"] == won["_hot"], "left").where("_hot IS NULL OR _length = _most AND _id <=> _keep").select(*marked.columns)
-    kept = kept.join(gone, at(kept, gone), "left_anti")
+    by_length = docs.withColumns({"_length": length, "_id": F.col(f"`{id_col}`").cast("long")})
+
+    def standing(some: DataFrame) -> DataFrame:
+        """Those of some that no frequent digest's winner takes out, with their digest."""
+        marked = some.withColumn("_sha", digest)
+        return marked.join(F.broadcast(won), marked["_sha"] == won["_hot"], "left").where("_hot IS NULL OR _length = _most AND _id <=> _keep").select(*marked.columns)
+
+    rest = standing(may_match(by_length, gone, "_id", "_length"))
+    rest = rest.join(gone.hint("merge"), at(rest, gone), "left_anti")
+    kept = standing(cannot_match(by_length, gone, "_id", "_length")).unionByName(rest)
     if not ties.limit(1).count():
         return kept.select(*names)
     single = kept.join(ties, at(kept, ties), "left_anti").select(*names)

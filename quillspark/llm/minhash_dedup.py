@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, let_go, materialize, slices, table
+from ._common import keyed, let_go, materialize, may_match, slices, table
 from ._words import U, Words, batch_words, mix, sequence_hash
 from .components import connected_components
 
@@ -92,6 +92,17 @@ def table_members(sets: DataFrame, parts: int = PARTS) -> DataFrame:
     return materialize(keys.join(kept, "key"), "members")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, left_text, right_text) of pairs of sets; of texts (doc_id, text) only those that pairs may ask for are shuffled.
+
+    The plan is the same at any size, so what is measured on small tables holds for larger ones.
+    """
+    for column, text in ((a, "left_text"), (b, "right_text")):
+        mine = texts.select(F.col("doc_id").alias(column), F.col("text").alias(text))
+        pairs = pairs.join(may_match(mine, pairs.select(column), column).hint("merge"), column)
+    return pairs.select(a, b, "left_text", "right_text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) whose full sets are linked."""
 
@@ -111,9 +122,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCE
                     keep.append(both > 0 and 100 * both >= percent * (small + large - both))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left_text")), "a")
-    rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right_text")), "b")
-    return rows.select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts, "a", "b").mapInArrow(run, "a long, b long")
 
 
 def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,9 +161,7 @@ def differences(chosen: DataFrame, texts: DataFrame, size: int, percent: int = P
                 columns = [b.column(0), b.column(1), pa.array(n), pa.array(m), pa.array(d), pa.array(under * d <= over * (n + m)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["rep", "pivot", "n", "m", "d", "linked", "diff"])
 
-    rows = chosen.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("left_text")), "rep")
-    rows = rows.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("right_text")), "pivot")
-    return rows.select("rep", "pivot", "left_text", "right_text").mapInArrow(run, "rep long, pivot long, n long, m long, d long, linked boolean, diff array<long>")
+    return _with_texts(chosen, texts, "rep", "pivot").mapInArrow(run, "rep long, pivot long, n long, m long, d long, linked boolean, diff array<long>")
 
 
 def candidate_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -207,7 +214,7 @@ def link_sets(members: DataFrame, texts: DataFrame, size: int, percent: int = PE
     """
     hubs = table_hubs(members)
     best = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("best")
-    chosen = materialize(members.join(hubs, "key").groupBy("rep").agg(best).select("rep", (-F.col("best.minus")).alias("pivot")), "chosen")
+    chosen = materialize(members.join(hubs.hint("merge"), "key").groupBy("rep").agg(best).select("rep", (-F.col("best.minus")).alias("pivot")), "chosen")
     compared = materialize(differences(chosen, texts, size, percent), "compared")
     found = lambda rows: rows.where("linked AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     components = materialize(compared.select("rep", F.col("rep").alias("component")), "components")
@@ -262,9 +269,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, part
     stands = F.col("doc_id") == F.col("least")
     grouped = materialize(usable.join(reps, name).select("doc_id", "n_shingles", "rep", "least", F.when(stands, F.col("tag")).alias("tag"), F.when(stands, F.col("parts")).alias("parts")), "grouped")
     members = table_members(grouped.where("parts IS NOT NULL").select("rep", "parts"), parts)
-    wanted = members.select("rep").distinct().join(grouped.where("tag IS NOT NULL").select("rep", "doc_id", "tag"), "rep").distinct()
-    wanted = materialize(wanted, "wanted")
-    texts = materialize(rows.join(wanted, ["doc_id", "tag"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    one = grouped.where("tag IS NOT NULL").groupBy("rep").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("rep", "one.*")
+    wanted = materialize(members.select("rep").distinct().join(one, "rep"), "wanted")
+    # rows that are there twice are dropped where the join has put them
+    texts = may_match(rows, wanted, "doc_id", "tag").join(wanted.hint("merge"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag", "rep"])
+    texts = materialize(texts.select(F.col("rep").alias("doc_id"), "text"), "texts")
     components = _with_shared_ids(link_sets(members, texts, size, percent), grouped)
     least = components.join(reps.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(components.join(materialize(least, "least_ids"), "component").select("rep", "component_id"), "named")

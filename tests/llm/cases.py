@@ -88,3 +88,11 @@ def without_repeats(rows, window):
                 gone[k : k + window] = [True] * window
         out.append((i, len(w), sum(gone), [x for x, g in zip(w, gone, strict=True) if not g]))
     return out
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session so far have written for a shuffle."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))

@@ -1,11 +1,15 @@
+import random
+
 import corpus_pipeline as pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity
+from quillspark.llm._common import cannot_match, may_match, without
 from tests.compare import DATA
 
-from .cases import near_components, odd_rows, without_repeats, words
+from .cases import near_components, odd_rows, shuffled_bytes, without_repeats, words
 
 
 def _rows(df):
@@ -74,3 +78,34 @@ def test_exact_stage_keeps_one_row_of_each_text_whatever_the_ids(spark):
     for name in ("minhash_near_dedup", "substring_dedup"):  # they find nothing to do and lose nothing
         out = pipeline.materialize(dict(pipeline.STAGES)[name](spark, out, DATA), name)
         assert sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("stage", [pipeline.exact_stage, pipeline.near_stage])
+def test_texts_that_stay_are_not_shuffled(spark, stage):
+    """Also where the rows that go are too many to broadcast."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(250)) for _ in range(2200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, *texts[:30]])], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = pipeline.materialize(docs.repartition(4), "docs")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        out = sorted(r.doc_id for r in stage(spark, docs, DATA).collect())
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert out == list(range(2200))
+    assert moved < 0.6 * sum(map(len, texts))
+
+
+def test_without_is_an_anti_join(spark):
+    rows = [(i % 700 if i % 9 else None, i % 3, f"t{i}") for i in range(2000)]
+    gone = [(i, 1) for i in range(0, 700, 5)] + [(None, 2), (5, 1), (-1, 0)]
+    df = spark.createDataFrame(rows, "id int, k long, _bits string").repartition(3)
+    keys = spark.createDataFrame(gone, "id long, k int")
+    got = without(df, keys, "id", "k")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if (r[0], r[1]) not in set(gone)), key=repr) and got.columns == df.columns
+    assert {(r.id, r.k) for r in may_match(df, keys, "id", "k").collect()} >= {(r[0], r[1]) for r in rows} & set(gone)
+    assert may_match(df, keys, "id", "k").count() + cannot_match(df, keys, "id", "k").count() == 2000
+    assert may_match(df, keys.limit(0), "id", "k").count() == 0 and without(df, keys.limit(0), "id", "k").count() == 2000
