@@ -19,7 +19,7 @@ STEP = 256
 
 
 def letter_pieces(df: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(id, n, own, piece): distinct runs of letters with their counts, cut to rows of STEP places.
+    """(n, own, piece): distinct runs of letters with their counts, cut to rows of STEP places.
 
     A piece has the letter before its first place, or a space, then its `own` places
     and what words that begin there can reach. Equal runs are one row, so a common
@@ -27,26 +27,28 @@ def letter_pieces(df: DataFrame, text: str = "text", longest: int = LONGEST) ->
     """
     runs = df.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1)).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     parts = runs.select("n", "run", F.posexplode(F.expr(f"sequence(0, length(run) - 1, {STEP})")).alias("part", "at"))
-    cut = parts.select("n", F.expr(f"least({STEP}, length(run) - at)").alias("own"), F.expr(f"substring(concat(' ', run, ' '), at + 1, {STEP + longest + 1})").alias("piece"))
-    return written(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    return parts.select("n", F.expr(f"least({STEP}, length(run) - at)").alias("own"), F.expr(f"substring(concat(' ', run, ' '), at + 1, {STEP + longest + 1})").alias("piece"))
 
 
-def _level(state: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, n) of the grams of this length that occur at least `least` times, and their places."""
-    rows = state.select("id", "n", "piece", F.explode("alive").alias("p"))
-    rows = rows.select("id", "n", "p", F.substring("piece", F.col("p"), F.lit(length)).alias("gram"), F.substring("piece", F.col("p") - 1, F.lit(1)).alias("before"), F.substring("piece", F.col("p") + length, F.lit(1)).alias("after"))
-    rows = rows.where(~F.contains("gram", F.lit(" ")) & (F.length("gram") == length))
-    counts = written(rows.groupBy("gram").agg(F.sum("n").alias("total")).where(F.col("total") >= least), "frequent")
-    return counts, written(rows.join(counts.select("gram"), "gram"), "kept")
+def _windows(pieces: DataFrame, longest: int) -> DataFrame:
+    """(window, n): the letter before a place, or a space, then the `longest` letters from there and the next one, less where the run ends."""
+    places = pieces.select("n", "piece", F.explode(F.expr("sequence(1, own)")).alias("p"))
+    return places.groupBy(F.substring("piece", F.col("p"), F.lit(longest + 2)).alias("window")).agg(F.sum("n").alias("n"))
+
 
+def _grams(windows: DataFrame, length: int, least: int) -> DataFrame:
+    """(gram, total, entropy) of the grams of this length that occur at least `least` times.
 
-def _entropies(kept: DataFrame) -> DataFrame:
-    """(gram, entropy): of the letters before and after a gram the lesser entropy; each border of a run counts as a letter of its own."""
-    sides = kept.select("gram", "n", F.posexplode(F.array("before", "after")).alias("side", "letter"))
+    Of the letters before and after a gram the lesser entropy; each border of a run counts
+    as a letter of its own.
+    """
+    rows = windows.select(F.substring("window", 2, length).alias("gram"), F.substring("window", 1, 1).alias("before"), F.substring("window", length + 2, 1).alias("after"), "n")
+    rows = rows.where(~F.contains("gram", F.lit(" ")) & (F.length("gram") == length))
+    sides = rows.select("gram", "n", F.posexplode(F.array("before", "after")).alias("side", "letter"))
     counted = sides.groupBy("gram", "side", "letter").agg(F.sum("n").alias("n"))
     part = F.when(F.col("letter") == " ", 0.0).otherwise(F.col("n") * F.log("n"))
-    by_side = counted.groupBy("gram", "side").agg((F.log(F.sum("n")) - F.sum(part) / F.sum("n")).alias("entropy"))
-    return by_side.groupBy("gram").agg(F.min("entropy").alias("entropy"))
+    by_side = counted.groupBy("gram", "side").agg(F.sum("n").alias("total"), (F.log(F.sum("n")) - F.sum(part) / F.sum("n")).alias("entropy"))
+    return by_side.where(F.col("total") >= least).groupBy("gram").agg(F.min("total").alias("total"), F.min("entropy").alias("entropy"))
 
 
 def mine_words(df: DataFrame, text: str = "text", least: int = LEAST, longest: int = LONGEST, entropy: float = ENTROPY, cohesion: float = COHESION) -> DataFrame:
@@ -54,27 +56,20 @@ def mine_words(df: DataFrame, text: str = "text", least: int = LEAST, longest: i
 
     A word occurs at least `least` times; the letters before and after it have at least
     `entropy` (to six places); and however it is cut in two, it is at least `cohesion`
-    times as frequent as its parts are together by chance. Grams are counted level by
-    level: one is looked at only where both grams that are one letter shorter are
-    frequent, so each level has fewer places than the one before. Null and empty texts
+    times as frequent as its parts are together by chance. Texts are read once: equal
+    windows of letters are counted, and those of each length come from the counts of
+    the next longer ones, so nothing is joined to places of the texts. Null and empty texts
     and texts without letters have no words; overlapping occurrences count; case is kept.
     """
-    pieces = letter_pieces(df, text, longest)
-    letters = written(pieces.select("n", F.explode(F.split(F.expr("substring(piece, 2, own)"), "")).alias("gram")).where("gram <> ''").groupBy("gram").agg(F.sum("n").alias("total")), "letters")
-    size = letters.agg(F.sum("total")).first()[0] or 0
-    state = pieces.where("own >= 1").withColumn("alive", F.expr("sequence(2, own + 1)"))
-    counts, ends = [letters], []
-    for length in range(2, longest + 1):
-        frequent, kept = _level(state, length, least)
-        counts.append(frequent)
-        ends.append(_entropies(kept).where(F.round("entropy", 6) >= entropy))
+    windows = written(_windows(letter_pieces(df, text, longest), longest), "windows")
+    grams = []
+    for length in range(longest, 0, -1):
         if length < longest:
-            alive = kept.groupBy("id").agg(F.collect_list("p").alias("alive"))
-            # whether a piece's last place goes on is known to the next piece alone
-            both = F.expr("filter(array_union(array_intersect(alive, transform(alive, p -> p - 1)), array(own + 1)), p -> array_contains(alive, p))")
-            state = written(pieces.join(alive, "id").withColumn("alive", both).where(F.size("alive") > 0), "state")
-    counted = reduce(DataFrame.unionByName, counts)
-    free = reduce(DataFrame.unionByName, ends).select("gram").join(counted, "gram")
+            windows = written(windows.groupBy(F.substring("window", 1, length + 2).alias("window")).agg(F.sum("n").alias("n")), "windows")
+        grams.append(written(_grams(windows, length, least if length > 1 else 1), "grams"))
+    size = grams[-1].agg(F.sum("total")).first()[0] or 0
+    counted = reduce(DataFrame.unionByName, grams).select("gram", "total")
+    free = reduce(DataFrame.unionByName, grams[:-1]).where(F.round("entropy", 6) >= entropy)
     cuts = free.select("gram", "total", F.explode(F.expr("sequence(1, length(gram) - 1)")).alias("cut"))
     cuts = cuts.select("gram", "total", F.expr("substring(gram, 1, cut)").alias("head"), F.expr("substring(gram, cut + 1)").alias("tail"))
     cuts = cuts.join(counted.select(F.col("gram").alias("head"), F.col("total").alias("heads")), "head").join(counted.select(F.col("gram").alias("tail"), F.col("total").alias("tails")), "tail")

@@ -73,3 +73,20 @@ def test_dictionary_grows_and_keeps_what_it_has(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "day date, text string, word string, n long, id long")
     assert dictionary.grow(df).collect() == [] and dictionary.grow(df).columns == ["word", "n", "first_day"]
+
+
+def test_what_is_written_does_not_grow_with_the_places(spark, monkeypatch):
+    """Distinct runs that have the same few windows of letters: each level has those, not the places of the runs."""
+    texts = ["津波の" * k for k in range(1, 201)]
+    rows, keep = [], dictionary.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(dictionary, "written", counted)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.word: r.n for r in dictionary.mine_words(df, entropy=0.0, cohesion=0.0).collect()}
+    assert got == plain_words(texts, dictionary.LEAST, dictionary.LONGEST, 0.0, 0.0) and got
+    assert sum(rows) < 500 < sum(map(len, texts))
